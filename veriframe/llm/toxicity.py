@@ -22,7 +22,7 @@ from veriframe.llm.shared import words_of
 SAMPLE_ROWS, TOKENS = 20_000, 50_000
 PREFIX = 6  # bytes
 PSEUDO = 3.0  # documents that a prior counts as
-LEAST_Z = 3.5
+LEAST_Z, LEAST_WEIGHT = 3.5, 1.5
 #: A segment is significant if so few are expected by chance in a text of its length.
 EXPECTED = 0.05
 
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             o = odds(*c.get(w[:PREFIX] + b"*", (0, 0)), 0.5)[0]
             share = 1 / (1 + math.exp(-max(-3.0, min(3.0, o))))
         x, z = odds(clean, bad, share)
-        if z >= LEAST_Z:
+        if z >= LEAST_Z and x >= LEAST_WEIGHT:
             weights[w] = x
     # a word that carries its prefix's weight alone needs no entry of its own; clean words under a toxic prefix get the drift
     model = Toxicity(dict(sorted(weights.items(), key=lambda kv: -kv[1])[:TOKENS]), -0.2)

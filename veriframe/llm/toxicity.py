@@ -159,14 +159,30 @@ def _calibrate(model: Toxicity, rows: DataFrame) -> Toxicity:
         e = [-math.log10(max(x, 1e-300)) for x in e if x < EXPECTED]
         feats.append((max(e, default=0.0) ** 0.5, math.log1p(sum(e))))
     x, y = np.c_[np.ones(len(feats)), np.array(feats).reshape(-1, 2)], got["toxic"].to_numpy(float)
-    w = np.zeros(3)
-    for _ in range(50):  # Newton steps of a ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (p - y) + 1e-2 * w)
-    model.curve = tuple(float(v) for v in w)
+    model.curve = tuple(float(v) for v in _logistic(x, y))
     return model
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls (labels may be separable)."""
+    w = np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * v @ v)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return w
+
+
 def scorer(model: Toxicity, spark) -> "callable":
     """A column function: text -> struct(score, n_words, passages); null and empty texts have no passages."""
     shared = spark.sparkContext.broadcast(model)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What applicants write for no declaration, and what counts as true or false.
 SENTINELS = ("not stated on application", "not stated", "n/a")
@@ -37,7 +38,7 @@ def _fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), PUNCTUATION, " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompose(s: pd.Series) -> pd.Series:
     """NFKD without combining marks; the one text step that Spark lacks."""
     return s.map(lambda t: None if t is None else t if t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))

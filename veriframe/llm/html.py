@@ -212,6 +212,8 @@ def main_text(page: str | None, template: list[tuple[int, int, float]] | None) -
             words = run.split(" ", SHORT_RUN + 1)
             known = len(words) <= SHORT_RUN and all(_key(path, "", "", w) in fixed for w in words)
         slots.append((path, run, drop or known and not main, main))
+    if all(s[2] for s in slots):  # copies of one page: a template that holds every run is no template
+        slots = runs
     kept = [s for s in slots if s[3] and not s[2]]
     if not kept and not any(s[3] for s in slots):
         mass: dict[str, int] = {}
@@ -227,13 +229,13 @@ def main_text(page: str | None, template: list[tuple[int, int, float]] | None) -
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, template_tokens): the main text of every page, from the whole html; null or empty html gives ''.
 
-    Repeated rows and null ids or urls keep their rows (null and odd urls are one host ''). A page of a host with fewer than
+    Repeated rows and null ids or urls keep their rows (null and odd urls have no host and no template). A page of a host with fewer than
     LEAST_PAGES pages has its own tags alone to go by. White space inside a block is one space, blocks are joined by one."""
     kind = pages.schema[id_col].dataType.simpleString()
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     src = src.withColumn("host", name)
-    found = materialize(templates(src))
+    found = materialize(templates(src.filter("host <> ''")))
     size = found.agg(F.sum(F.size("template"))).first()[0] or 0
     joined = src.join(F.broadcast(found) if 2 * size <= BROADCAST_ROWS else found.hint("merge"), "host", "left")
 

@@ -67,7 +67,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - (self.weights[i] * v).sum(), -50, 50)))
 
 
-def fit_rows(texts: list[str | None], grades: list[int], rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> Ordinal:
+def fit_rows(texts: list[str | None], grades: list[int], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Ordinal:
     """Maximum likelihood by Adam; thresholds stay ordered as a first one and positive steps."""
     levels = sorted(set(grades))
     k = max(1, len(levels) - 1)

@@ -68,18 +68,20 @@ def check_country() -> Column:
     return finding("country_of_origin", F.when(~F.coalesce(c("imported"), F.lit(False)), "not_required").when(blank(c("label_country_of_origin")), "needs_review").when(F.contains(got, want), "pass").otherwise("fail"), c("country_of_origin"), c("label_country_of_origin"))
 
 
-def _warning() -> Column:
-    return P.compare_statement(c("label_warning"), WARNING, PREFIX)
+def parsed() -> dict[str, Column]:
+    """What several checks read, parsed once in a projection before theirs."""
+    return {"_declared_volume": P.parse_volume(c("net_contents")), "_label_volume": P.parse_volume(c("label_net_contents")), "_alcohol": P.parse_alcohol(c("label_alcohol")),
+            "_warning": P.compare_statement(c("label_warning"), WARNING, PREFIX)}
 
 
 def check_warning_text() -> Column:
     said, wanted = P.statement_tokens(c("label_warning")), P.statement_tokens(F.lit(WARNING))
     noise = P.char_noise(F.array_join(said, " "), F.array_join(wanted, " "))
-    return finding("warning_text", F.when(blank(c("label_warning")), "needs_review").when(_warning()["text_matches"], "pass").when(noise, "pass_with_note").when(P.truncated(said, wanted), "needs_review").otherwise("fail"), WARNING, c("label_warning"))
+    return finding("warning_text", F.when(blank(c("label_warning")), "needs_review").when(c("_warning")["text_matches"], "pass").when(noise, "pass_with_note").when(P.truncated(said, wanted), "needs_review").otherwise("fail"), WARNING, c("label_warning"))
 
 
 def check_warning_prefix() -> Column:
-    return F.when(~blank(c("label_warning")), finding("warning_prefix", F.when(_warning()["prefix_all_caps"], "pass").otherwise("fail"), PREFIX, F.substring("label_warning", 1, len(PREFIX))))
+    return F.when(~blank(c("label_warning")), finding("warning_prefix", F.when(c("_warning")["prefix_all_caps"], "pass").otherwise("fail"), PREFIX, F.substring("label_warning", 1, len(PREFIX))))
 
 
 def check_warning_bold() -> Column:
@@ -87,7 +89,7 @@ def check_warning_bold() -> Column:
 
 
 def check_net_contents() -> Column:
-    want, got = P.parse_volume(c("net_contents")), P.parse_volume(c("label_net_contents"))
+    want, got = c("_declared_volume"), c("_label_volume")
     sentinel = X.not_stated(c("net_contents"))
     verdict = (F.when(blank(c("label_net_contents")), F.when(sentinel, "needs_review").otherwise("fail")).when(sentinel, "pass_with_note")
                .when(want.isNull() | got.isNull(), "needs_review").when(F.abs(want["milliliters"] - got["milliliters"]) <= ML_EPS, "pass").otherwise("fail"))
@@ -103,7 +105,7 @@ def check_measurement_system() -> Column:
 
 
 def check_standards_of_fill() -> Column:
-    ml = P.parse_volume(c("label_net_contents"))["milliliters"]
+    ml = c("_label_volume")["milliliters"]
     even = (ml >= EVEN_LITERS[0]) & (ml <= EVEN_LITERS[1]) & (F.pmod(ml, F.lit(1000.0)) == 0)
     wine = F.when(band_match(ml, FILLS["wine"], ML_EPS).isNotNull() | even, "pass").otherwise("fail")
     spirits = F.when(band_match(ml, FILLS["spirits"] + CANS, ML_EPS).isNotNull(), "pass").when(band_match(ml, ADDED, ML_EPS).isNotNull(), "needs_review").otherwise("fail")
@@ -111,7 +113,7 @@ def check_standards_of_fill() -> Column:
 
 
 def check_malt_form() -> Column:
-    form = bucket_match(P.parse_volume(c("label_net_contents"))["milliliters"], FORMS)
+    form = bucket_match(c("_label_volume")["milliliters"], FORMS)
     whole = F.lower(F.regexp_replace(c("label_net_contents"), r"\([^)]*\)", ""))
     unit = F.regexp_extract(form, r"(ounces|pint|quart|gallon)", 1)
     said = F.contains(whole, unit) | (unit == "ounces") & whole.rlike(r"\boz\b|ounce") | (unit == "quart") & whole.rlike(r"pint|ounce|oz") & form.contains("quarts,")
@@ -123,7 +125,7 @@ def _abv() -> Column:
 
 
 def check_alcohol() -> Column:
-    read = P.parse_alcohol(c("label_alcohol"))
+    read = c("_alcohol")
     exempt = (c("beverage_type") == "wine") & (_abv() <= BOUNDARY) & norm(c("label_class_type")).rlike(r"\b(table|light) wine\b")
     missing = F.when((c("beverage_type") == "malt") | exempt, "not_required").otherwise("fail")
     within = (read["low"] - ABV_EPS <= _abv()) & (_abv() <= read["high"] + ABV_EPS)
@@ -132,7 +134,7 @@ def check_alcohol() -> Column:
 
 
 def check_alcohol_tolerance() -> Column:
-    actual, labelled = c("actual_alcohol_content").cast("double"), P.parse_alcohol(c("label_alcohol"))["percent"]
+    actual, labelled = c("actual_alcohol_content").cast("double"), c("_alcohol")["percent"]
     off = F.round(F.abs(actual - labelled), 4)
     wine = F.when(off <= F.when(labelled <= BOUNDARY, 1.5).otherwise(1.0), "pass").otherwise("fail")
     spirits = F.when((actual <= labelled) & (off <= 0.15), "pass").when(off <= 0.3, "needs_review").otherwise("fail")
@@ -141,18 +143,18 @@ def check_alcohol_tolerance() -> Column:
 
 
 def check_alcohol_range() -> Column:
-    r = P.parse_alcohol(c("label_alcohol"))
+    r = c("_alcohol")
     ok = r["high"] - r["low"] <= F.when(r["high"] <= BOUNDARY, 3.0).otherwise(2.0)
     return F.when((c("beverage_type") == "wine") & r["low"].isNotNull(), finding("alcohol_range", F.when(ok, "pass").otherwise("fail"), None, c("label_alcohol")))
 
 
 def check_proof() -> Column:
-    r = P.parse_alcohol(c("label_alcohol"))
+    r = c("_alcohol")
     return F.when((c("beverage_type") == "spirits") & r["proof"].isNotNull() & r["percent"].isNotNull(), finding("proof", F.when(F.abs(r["proof"] - 2 * r["percent"]) <= 0.01, "pass").otherwise("fail"), None, c("label_alcohol")))
 
 
 def check_tax_class() -> Column:
-    actual, labelled = c("actual_alcohol_content").cast("double"), P.parse_alcohol(c("label_alcohol"))["percent"]
+    actual, labelled = c("actual_alcohol_content").cast("double"), c("_alcohol")["percent"]
     return F.when((c("beverage_type") == "wine") & ((actual <= BOUNDARY) != (labelled <= BOUNDARY)), finding("tax_class", "fail", X.fmt_pct(actual), X.fmt_pct(labelled)))
 
 
@@ -200,10 +202,10 @@ def register_check(name: str, check: Callable[[], Column]) -> None:
 
 def evaluate(df: DataFrame, least_confidence: float = 0.5) -> DataFrame:
     """Adds findings and overall. Illegible records (label_legible false, or confidence under the least) get request_retake and no findings."""
-    outside = F.coalesce((c("beverage_type") == "wine") & (F.coalesce(_abv(), P.parse_alcohol(c("label_alcohol"))["percent"]) < PART_4_ABV), F.lit(False))
+    outside = F.coalesce((c("beverage_type") == "wine") & (F.coalesce(_abv(), c("_alcohol")["percent"]) < PART_4_ABV), F.lit(False))
     cols = {f"_{n}": (F.when(~outside, f()) if n in PART_4 else f()) for n, f in CHECKS.items()}
-    staged = df.withColumns(cols).withColumn("_coverage", F.when(outside, finding("part_4_coverage", "not_applicable")))
+    staged = df.withColumns(parsed()).withColumns(cols).withColumn("_coverage", F.when(outside, finding("part_4_coverage", "not_applicable")))
     staged = staged.withColumn("findings", F.concat(F.filter(F.array(*cols, "_coverage"), lambda f: f.isNotNull()), check_disclosures()))
     retake = ~F.coalesce(c("label_legible"), F.lit(True)) | F.coalesce(c("label_confidence") < least_confidence, F.lit(False))
-    out = staged.drop(*cols, "_coverage").withColumn("findings", F.when(retake, F.slice("findings", 1, 0)).otherwise(c("findings")))
+    out = staged.drop(*cols, *parsed(), "_coverage").withColumn("findings", F.when(retake, F.slice("findings", 1, 0)).otherwise(c("findings")))
     return out.withColumn("overall", F.when(retake, "request_retake").otherwise(worst_of_array(c("findings"))))

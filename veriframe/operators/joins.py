@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.functions.text import token_bounded
+from veriframe.functions.text import basename, token_bounded
 
 
 def reconcile(rows: DataFrame, row_key: str, files: DataFrame, file_key: str) -> DataFrame:
@@ -88,3 +88,25 @@ def changed_rows(current: DataFrame, target: DataFrame, key: str, cols: Sequence
     j = target.alias("t").join(current.alias("c"), key)
     names = F.filter(F.array(*[F.when(~F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
     return j.select(key, names.alias("changed")).filter(F.size("changed") > 0)
+
+
+def match_manifest(docs: DataFrame, doc_key: str, filename: str, id_col: str, manifest: DataFrame, index: str, path: str, manifest_id: str) -> DataFrame:
+    """docs with manifest_index: the first record whose path ends in the file's name or whose id is the document's; null if none.
+
+    Two equi-joins stand for the or, which would compare all pairs; doc_key is unique."""
+    m = manifest.select(F.col(index).alias("manifest_index"), basename(F.col(path)).alias("_name"), F.col(manifest_id).cast("string").alias("_id"))
+    # only the first record of a name or id can win
+    names = m.filter("_name <> ''").groupBy("_name").agg(F.min("manifest_index").alias("manifest_index"))
+    ids = m.filter("_id is not null").groupBy("_id").agg(F.min("manifest_index").alias("_by_id"))
+    j = docs.join(names, docs[filename] == names["_name"], "left").withColumn("_doc_id", F.col(id_col).cast("string"))
+    j = j.join(ids, F.col("_doc_id") == ids["_id"], "left")
+    return j.withColumn("manifest_index", F.least("manifest_index", "_by_id")).drop("_name", "_id", "_by_id", "_doc_id")
+
+
+def infer_files(rows: DataFrame, serial: str, files: DataFrame, filename: str) -> DataFrame:
+    """rows with files: the images named <serial>-<n>.<ext> in order of n, empty if there are none."""
+    pattern = r"^(.+)-(\d+)\.(?i:jpe?g|png|webp)$"
+    f = files.select(F.regexp_extract(filename, pattern, 1).alias("_serial"), F.struct(F.regexp_extract(filename, pattern, 2).try_cast("long").alias("n"), F.col(filename).alias("name")).alias("_f"))
+    lists = f.filter("_serial <> ''").groupBy("_serial").agg(F.sort_array(F.collect_list("_f")).alias("_l"))
+    j = rows.withColumn("_key", F.col(serial).cast("string")).join(lists, F.col("_key") == F.col("_serial"), "left")
+    return j.withColumn("files", F.coalesce(F.col("_l.name"), F.array().cast("array<string>"))).drop("_key", "_serial", "_l")

@@ -128,6 +128,12 @@ def reuse_asof(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return df.withColumn("reused", F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
 
 
+def reuse_with_owner(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, owner: str) -> DataFrame:
+    """reuse_asof that also names, as duplicate_of, the owner of the reused value where it is another's."""
+    old = F.lag(F.struct(F.col(value).alias("v"), F.col(owner).alias("o"))).over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_old", old).withColumns({"reused": F.col("_old.v"), "duplicate_of": F.when(F.col("_old.o") != F.col(owner), F.col("_old.o"))}).drop("_old")
+
+
 def union_box(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The smallest box around x, y, width, height of each key."""
     g = df.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.expr("x + width")).alias("r"), F.max(F.expr("y + height")).alias("b"))

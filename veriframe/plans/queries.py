@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import parsers as P
 from veriframe.functions import text as X
-from veriframe.operators import evidence, joins, latest, lifecycle
+from veriframe.operators import evidence, grounding, joins, latest, lifecycle, roles
 from veriframe.sources import ingest
 from veriframe.streaming import progress
 
@@ -268,3 +268,51 @@ def rule_findings(spark, d):
     }
     r = rules.evaluate(p.select("p_partkey", *[v.alias(k) for k, v in cols.items()]))
     return r.select("p_partkey", "overall", lifecycle.findings_text(F.col("findings")).alias("findings"), F.size("findings").alias("n_findings"))
+
+
+@query("select event_id, lag(event_id) over w reused, case when lag(user_id) over w <> user_id then lag(user_id) over w end duplicate_of from events window w as (partition by event_type, floor(value) order by ts, event_id)")
+def reuse_across_owners(spark, d):
+    e = t(spark, d, "events").withColumn("bucket", F.floor("value"))
+    return latest.reuse_with_owner(e, ["event_type", "bucket"], ["ts", "event_id"], "event_id", "user_id").select("event_id", "reused", "duplicate_of")
+
+
+@query("""with m as (select c_custkey as i, c_name as name, cast(c_custkey + 7 as varchar) id from customer) select o_orderkey, least((select min(i) from m where name = 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0')), (select min(i) from m where id = cast(o_custkey as varchar))) manifest_index from orders""")
+def manifest_match(spark, d):
+    m = t(spark, d, "customer").select("c_custkey", F.concat(F.lit("scans/"), "c_name").alias("path"), (F.col("c_custkey") + 7).alias("id"))
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("file"))
+    return joins.match_manifest(o, "o_orderkey", "file", "o_custkey", m, "c_custkey", "path", "id").select("o_orderkey", "manifest_index")
+
+
+@query("select o_orderkey, count(l_orderkey) n, coalesce(string_agg(o_orderkey || '-' || l_linenumber || '.png', '|' order by l_linenumber), '') files from orders left join lineitem on o_orderkey = l_orderkey group by 1")
+def files_of_serial(spark, d):
+    files = t(spark, d, "lineitem").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(".png")).alias("name"))
+    got = joins.infer_files(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", files, "name")
+    return got.select("o_orderkey", F.size("files").cast("long").alias("n"), F.array_join("files", "|").alias("files"))
+
+
+@query("""with a as (select l_orderkey k, l_linenumber i, case l_returnflag when 'R' then 'front' when 'A' then 'bck' else 'scan' end || l_linenumber || case when l_quantity < 5 then '.pdf' else '.jpg' end as name,
+ case when l_returnflag = 'R' then 3 else 0 end + case when l_linestatus = 'F' then 2 else 0 end f, case when l_returnflag = 'A' then 3 else 0 end + case when l_linestatus = 'O' then 2 else 0 end b from lineitem),
+r as (select * from a where name like '%.jpg'), fr as (select * from r qualify row_number() over (partition by k order by (f > 0 or b > 0) desc, f - b desc, f desc, i) = 1),
+bk as (select r.* from r join fr on r.k = fr.k and r.i <> fr.i where r.b > r.f qualify row_number() over (partition by r.k order by r.b - r.f desc, r.b desc, r.i) = 1)
+select fr.k l_orderkey, fr.name front, bk.name back from fr left join bk on fr.k = bk.k""")
+def front_and_back(spark, d):
+    word = F.when(F.col("l_returnflag") == "R", "front").when(F.col("l_returnflag") == "A", "bck").otherwise("scan")
+    name = F.concat(word, F.col("l_linenumber").cast("string"), F.when(F.col("l_quantity") < 5, ".pdf").otherwise(".jpg"))
+    a = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"), F.when(F.col("l_linestatus") == "F", "Brand (front)").otherwise("Back").alias("kind"))
+    return roles.pick_front_back(a, ["l_orderkey"], "l_linenumber", "name", "kind")
+
+
+@query("""with r as (select l_orderkey, l_linenumber % 2 as field, l_linenumber as page, case l_returnflag when 'R' then 'present' when 'A' then 'ambiguous' else 'absent' end status from lineitem)
+select l_orderkey, field, status, page from r qualify row_number() over (partition by l_orderkey, field order by case status when 'present' then 0 when 'ambiguous' then 1 else 2 end, page) = 1""")
+def adjudications(spark, d):
+    status = F.when(F.col("l_returnflag") == "R", "present").when(F.col("l_returnflag") == "A", "ambiguous").otherwise("absent")
+    r = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("field"), status.alias("status"), F.col("l_linenumber").alias("page"))
+    return grounding.merge_adjudications(r, ["l_orderkey"], "field", "status", "page")
+
+
+@query()
+def grounded_names(spark, d):
+    """The part's type on a page that says its name, brand and type, each a line."""
+    line = lambda x: F.struct(F.col(x).alias("text"))
+    p = t(spark, d, "part").select("p_partkey", F.array(line("p_name"), line("p_brand"), line("p_type")).alias("words"), F.col("p_type").alias("target"))
+    return grounding.best_window(p, "words", "target").select("p_partkey", "match.start", "match.stop", "match.text", "match.score", "match.fused")

@@ -185,15 +185,62 @@ def check_disclosures() -> Column:
     return F.array(*out)
 
 
+def check_varietals() -> Column:
+    """Sets of grape names: one not listed fails, one not on the label is for review, one with more words around it passes with a note."""
+    none = F.array().cast("array<string>")
+    want, got = (F.filter(F.coalesce(n, none), lambda v: F.trim(v) != "") for n in ("varietals", "label_varietals"))
+    wider = lambda e, v: X.token_run(norm(v), norm(e)) & (norm(v) != norm(e))
+    same = lambda e, v: (norm(v) == norm(e)) | wider(e, v)
+    unlisted = F.filter(got, lambda v: ~F.exists(want, lambda e: same(e, v)))
+    missing = F.filter(want, lambda e: ~F.exists(got, lambda v: same(e, v)))
+    qualified = F.exists(got, lambda v: F.exists(want, lambda e: wider(e, v)))
+    verdict = F.when(F.size(unlisted) > 0, "fail").when(F.size(missing) > 0, "needs_review").when(qualified, "pass_with_note").otherwise("pass")
+    note = F.when(F.size(unlisted) > 0, F.concat(F.lit("Label varietals not listed on the application: "), F.array_join(unlisted, ", "))).when(
+        F.size(missing) > 0, F.concat(F.lit("Application lists varietals not found on the label: "), F.array_join(missing, ", "))).when(
+        qualified, "Label varietal wording includes the declared varietal with additional modifier text")
+    f = finding("varietals", verdict, F.array_join(want, ", "), F.array_join(got, ", "))
+    return F.when((c("beverage_type") == "wine") & c("label_varietals").isNotNull() & (F.size(want) + F.size(got) > 0), f.withField("note", note))
+
+
+#: Items that wine must carry on its brand label. Fixed values.
+BRAND_LABEL_ITEMS = {"brand_name": "brand name", "class_type_designation": "class/type designation", "alcohol_statement": "alcohol content statement"}
+
+
+def check_placement() -> Column:
+    """Only where some field stands on a later page: items of the brand label that do are for review."""
+    pages = c("label_field_pages")
+    late = F.filter(F.array(*[F.when(F.try_element_at(pages, F.lit(k)) > 1, F.lit(v)) for k, v in BRAND_LABEL_ITEMS.items()]), lambda x: x.isNotNull())
+    extracted = F.when(F.size(late) > 0, F.concat(F.lit("On the back label: "), F.array_join(late, ", "))).otherwise("All on the brand label")
+    f = finding("brand_label_placement", F.when(F.size(late) > 0, "needs_review").otherwise("pass"), "Brand name, class/type designation, and alcohol content on the brand label", extracted)
+    return F.when((c("beverage_type") == "wine") & F.exists(F.map_values(pages), lambda p: p > 1), f)
+
+
+def coverage_note(findings: Column, least: int = 3) -> Column:
+    """A note where at least so many failing or open findings have nothing extracted; else null."""
+    empty = F.filter(findings, lambda f: f["verdict"].isin("fail", "needs_review") & (F.trim(F.coalesce(f["extracted"], F.lit(""))) == ""))
+    return F.when(F.size(empty) >= least, finding("artwork_quality", "pass_with_note", note="Several mandatory items could not be read from the artwork at all - consider requesting a better image before rejecting"))
+
+
+def duplicate_note() -> Column:
+    """A note where duplicate_of names another record with the same artwork."""
+    note = F.concat(F.lit("This artwork was previously verified as application "), c("duplicate_of"))
+    return F.when(c("duplicate_of").isNotNull(), finding("duplicate_artwork", "pass_with_note", note="").withField("note", note))
+
+
+#: Inputs that a table may lack: their checks then give nothing.
+OPTIONAL = {"label_varietals": "array<string>", "label_field_pages": "map<string,int>", "duplicate_of": "string"}
+
+
 #: Name -> check, in the order of their findings. register_check adds more.
 CHECKS: dict[str, Callable[[], Column]] = {
     "brand_name": lambda: ladder("brand_name"), "fanciful_name": lambda: ladder("fanciful_name"), "name_and_address": check_name_and_address, "country_of_origin": check_country,
     "warning_text": check_warning_text, "warning_prefix": check_warning_prefix, "warning_bold": check_warning_bold, "net_contents": check_net_contents, "measurement_system": check_measurement_system,
     "standards_of_fill": check_standards_of_fill, "net_contents_form": check_malt_form, "alcohol_content": check_alcohol, "alcohol_tolerance": check_alcohol_tolerance, "alcohol_range": check_alcohol_range,
     "proof": check_proof, "tax_class": check_tax_class, "requires_appellation": check_requires_appellation, "vintage": check_vintage, "appellation": lambda: ladder("appellation"), "cocktail": check_cocktail,
+    "varietals": check_varietals, "brand_label_placement": check_placement,
 }
 #: Checks that wine under PART_4_ABV skips.
-PART_4 = ("net_contents", "measurement_system", "standards_of_fill", "net_contents_form", "alcohol_content", "alcohol_tolerance", "alcohol_range", "proof", "tax_class", "requires_appellation", "vintage", "appellation")
+PART_4 = ("net_contents", "measurement_system", "standards_of_fill", "net_contents_form", "alcohol_content", "alcohol_tolerance", "alcohol_range", "proof", "tax_class", "requires_appellation", "vintage", "appellation", "varietals", "brand_label_placement")
 
 
 def register_check(name: str, check: Callable[[], Column]) -> None:
@@ -202,10 +249,14 @@ def register_check(name: str, check: Callable[[], Column]) -> None:
 
 def evaluate(df: DataFrame, least_confidence: float = 0.5) -> DataFrame:
     """Adds findings and overall. Illegible records (label_legible false, or confidence under the least) get request_retake and no findings."""
+    lacking = {n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in df.columns}
+    df = df.withColumns(lacking) if lacking else df
     outside = F.coalesce((c("beverage_type") == "wine") & (F.coalesce(_abv(), c("_alcohol")["percent"]) < PART_4_ABV), F.lit(False))
     cols = {f"_{n}": (F.when(~outside, f()) if n in PART_4 else f()) for n, f in CHECKS.items()}
     staged = df.withColumns(parsed()).withColumns(cols).withColumn("_coverage", F.when(outside, finding("part_4_coverage", "not_applicable")))
     staged = staged.withColumn("findings", F.concat(F.filter(F.array(*cols, "_coverage"), lambda f: f.isNotNull()), check_disclosures()))
+    notes = F.filter(F.array(coverage_note(c("findings")), duplicate_note()), lambda f: f.isNotNull())
+    staged = staged.withColumn("findings", F.concat("findings", notes))
     retake = ~F.coalesce(c("label_legible"), F.lit(True)) | F.coalesce(c("label_confidence") < least_confidence, F.lit(False))
-    out = staged.drop(*cols, *parsed(), "_coverage").withColumn("findings", F.when(retake, F.slice("findings", 1, 0)).otherwise(c("findings")))
+    out = staged.drop(*cols, *parsed(), "_coverage", *lacking).withColumn("findings", F.when(retake, F.slice("findings", 1, 0)).otherwise(c("findings")))
     return out.withColumn("overall", F.when(retake, "request_retake").otherwise(worst_of_array(c("findings"))))

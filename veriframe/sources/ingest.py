@@ -79,6 +79,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("ttbId").alias("serial"), F.filter("images", lambda x: F.trim(x) != "").alias("images"), "_corrupt")
 
 
+def manifest_errors(texts: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """(file, kind, message) of manifests, whole texts of one file a row, that are no JSON array of records."""
+    got = F.from_json(text_col, "array<struct<_x:string>>")
+    shape = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    why = F.when(~shape.startswith("["), "not_array").when(got.isNull(), "unreadable")
+    message = F.when(why == "not_array", "Manifest must be a JSON array").otherwise("Manifest is not valid JSON")
+    return texts.select(F.col(file_col).alias("file"), why.alias("kind"), message.alias("message")).filter("kind is not null")
+
+
 def parse_word_tsv(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """Words of TSV lines of 12 fields: level 5 with a text; a negative confidence is null, short and odd lines are passed over."""
     f = F.split(text_col, "\t", -1)

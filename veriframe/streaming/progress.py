@@ -22,6 +22,13 @@ def stream_dedupe(stream: DataFrame, keys: list[str], ts: str, late: str = "1 ho
     return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
+def verify_stream(declared: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Arriving declared records with their labels' texts (a table), checked by the rule catalogue; no state is kept."""
+    from veriframe.plans import rules
+
+    return rules.evaluate(declared.join(labels, key))
+
+
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there and gives what it wrote, as a table of the session."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ under label_ and the same name (label_warning, label_alcohol, label_net_contents
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from veriframe.functions import parsers as P
 from veriframe.functions import text as X
 from veriframe.operators.joins import band_match, bucket_match
 from veriframe.operators.latest import worst_of_array
+from veriframe.plans import catalogue as K
 
 # Fixed values.
 PREFIX = "GOVERNMENT WARNING:"
@@ -29,7 +30,20 @@ FORMS = [("fluid ounces or fractions of a pint", 0.0, 472.176), ("1 pint", 472.1
 SYSTEM = {"malt": "us", "wine": "metric", "spirits": "metric"}
 MAKERS = ("bottled by", "packed by", "filled by", "distilled by", "blended by", "made by", "prepared by", "manufactured by", "produced by", "brewed by", "vinted by", "cellared by")
 IMPORTERS = ("imported by", "sole agent", "sole u s agent", "imported and bottled by")
-COCKTAILS = ("black russian", "bloody mary", "daiquiri", "egg nog", "gimlet", "grasshopper", "mai tai", "manhattan", "margarita", "martini", "mint julep", "old fashioned", "screwdriver", "tom collins", "whisky sour", "white russian")
+COCKTAILS = ("apricot sour", "black russian", "bloody mary", "alexander", "daiquiri", "egg nog", "gimlet", "vodka gimlet", "grasshopper", "mai tai", "manhattan", "margarita", "martini", "vodka martini", "mint julep",
+             "old fashioned", "pink squirrel", "screwdriver", "sloe gin fizz", "tom collins", "wallbanger", "whisky sour", "white russian")
+QUALIFIERS = ("type", "american", "brewed", "produced", "distilled", "blended", "made")
+COMPONENTS = ("seltzer", "soda", "spritz", "spritzer", "cocktail", "margarita", "mule", "highball", "cooler", "lemonade", "punch", "tea", "ready to drink", "rtd")
+SPECIALTIES = ("specialty", "specialties", "proprietary", "proprietaries", "cocktail", "cocktails", "seltzer", "cooler", "ready to drink", "rtd", "under 48 proof")
+COLORS = ("red", "white", "rose", "pink", "amber")
+#: Designation, least and most alcohol, and whether each bound is itself outside; the first that a text names counts.
+ABV_CLASSES = [("table wine", 7.0, 14.0, False, False), ("light wine", 7.0, 14.0, False, False), ("dessert wine", 14.0, 24.0, True, False), ("sherry", 17.0, 24.0, False, False), ("light sherry", 14.0, 17.0, True, True),
+               ("madeira", 18.0, 24.0, False, False), ("port", 18.0, 24.0, False, False), ("angelica", 18.0, 24.0, False, False), ("muscatel", 18.0, 24.0, False, False), ("light madeira", 14.0, 18.0, True, True),
+               ("light port", 14.0, 18.0, True, True), ("light angelica", 14.0, 18.0, True, True), ("light muscatel", 14.0, 18.0, True, True), ("vermouth", 15.0, float("inf"), False, False)]
+#: Classes that need a statement with a percentage and neutral spirits, and those that need what they are distilled from.
+STATEMENT_GROUPS = {"group_1": ("neutral spirits", "vodka", "grain spirits", "blended whisky", "blended bourbon whisky", "blended wheat whisky", "blended rye whisky", "blended malt whisky", "blended rye malt whisky",
+                                "blended corn whisky", "spirit whisky", "compounded gin", "redistilled gin", "blended applejack"),
+                    "group_2": ("neutral spirits", "vodka", "grain spirits", "distilled gin")}
 DISCLOSURES = {"contains_sulfites_10ppm": ("sulfites", "sulfiting agent"), "contains_fd_c_yellow_5": ("fd c yellow 5",), "contains_aspartame": ("phenylketonurics contains phenylalanine",), "contains_saccharin": ("contains saccharin",)}
 
 c = F.col
@@ -215,6 +229,86 @@ def check_placement() -> Column:
     return F.when((c("beverage_type") == "wine") & F.exists(F.map_values(pages), lambda p: p > 1), f)
 
 
+def classified(entries: Sequence[dict]) -> list[dict[str, Column]]:
+    """What the designation checks read, in the order of their projections: the text read (the fanciful name where the class is blank and the name is a designation) and catalogue entries."""
+    kind, fanciful = c("label_class_type"), c("label_fanciful_name")
+    swap = blank(kind) & K.lookup(K.folded(fanciful), c("beverage_type"), entries).isNotNull()
+    text = {"_swapped": swap}
+    chosen = {"_class": F.when(c("_swapped"), fanciful).otherwise(kind)}
+    found = {"_entry": K.lookup(K.folded(c("_class")), c("beverage_type"), entries), "_declared_entry": K.lookup(K.folded(c("declared_class_type")), c("beverage_type"), entries),
+             "_other": K.other_commodity(K.folded(c("_class")), c("beverage_type"), entries)}
+    return [text, chosen, found]
+
+
+def _holds(text: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(False))
+
+
+def _specialty() -> Column:
+    return _holds(norm(c("declared_class_type")), SPECIALTIES)
+
+
+def check_class_type() -> Column:
+    """In the catalogue: by whether the name is enough. Else a bare color or another commodity's name fails, and a grape with an appellation passes with a note."""
+    e, text, wine = c("_entry"), norm(c("_class")), F.coalesce(c("beverage_type") == "wine", F.lit(False))
+    none = F.array().cast("array<string>")
+    grapes = F.filter(F.transform(F.concat(F.coalesce("varietals", none), F.coalesce("label_varietals", none)), norm), lambda v: v != "")
+    grape = wine & ~(blank(c("label_appellation")) & blank(c("appellation"))) & F.exists(grapes, lambda v: F.contains(text, v))
+    known = F.when(e["sufficient"] == "true", F.when(c("_swapped"), "pass_with_note").otherwise("pass")).when(e["sufficient"] == "conditional", "needs_review").otherwise("fail")
+    unknown = F.when((wine & text.isin(*COLORS)) | c("_other").isNotNull(), "fail").when(grape, "pass_with_note").otherwise("needs_review")
+    verdict = F.when(blank(c("_class")), "needs_review").when(e.isNotNull(), known).otherwise(unknown)
+    note = (F.when(blank(c("_class")), "No designation was read").when(e.isNotNull() & (e["sufficient"] == "true"), F.when(c("_swapped"), "The designation was read as the fanciful name"))
+            .when(e["sufficient"] == "conditional", F.coalesce(e["note"], e["composition"], F.lit("Whether the name is enough needs a decision")))
+            .when(e.isNotNull(), F.coalesce(e["composition"], F.lit("The name alone is not enough"))).when(wine & text.isin(*COLORS), "A color must be followed by Wine")
+            .when(c("_other").isNotNull(), F.concat(F.lit("A designation of "), c("_other"))).when(grape, "A grape with an appellation").otherwise("Not in the catalogue"))
+    return finding("class_type_designation", verdict, F.concat(F.lit("A recognized designation of "), c("beverage_type")), c("_class")).withField("note", note)
+
+
+def check_origin_qualifier() -> Column:
+    """A domestic product with a designation of foreign origin needs a word that says so."""
+    e = c("_entry")
+    foreign = e["qualifier"].isNotNull() & ~F.coalesce(c("imported"), F.lit(False)) & ~F.contains(F.coalesce(e["produced_in"], F.lit("")), F.lit("United States"))
+    return F.when(foreign & ~_holds(norm(c("_class")), QUALIFIERS), finding("designation_origin_qualifier", "fail", F.concat(c("_class"), F.lit(" type / American "), c("_class")), c("_class")).withField("note", e["qualifier"]))
+
+
+def check_minimum_abv() -> Column:
+    """The label's alcohol is not under the designation's least; specialties, cocktails and drinks with a spirit in them are exempt."""
+    e, text, read = c("_entry"), norm(c("_class")), c("_alcohol")["percent"]
+    cocktail = F.contains(text, F.lit("made with")) & _holds(text, COCKTAILS)
+    component = _holds(text, COMPONENTS) & F.exists(e["names"], lambda n: F.contains(text, n))
+    verdict = F.when(c("alcohol_content").isNull(), "needs_review").otherwise("fail")
+    return F.when((read < e["min_abv"]) & ~_specialty() & ~cocktail & ~component, finding("designation_minimum_abv", verdict, F.concat(F.lit("At least "), X.fmt_pct(e["min_abv"]), F.lit(" for "), c("_class")), X.fmt_pct(read)))
+
+
+def check_abv_class() -> Column:
+    """Wine of a designation with bounds of alcohol keeps within them."""
+    text, read = norm(c("_class")), F.coalesce(c("_alcohol")["percent"], _abv())
+    inside, named = None, None
+    for name, low, high, above, below in ABV_CLASSES:
+        hit, ok = X.token_bounded(text, F.lit(name)), (read > low if above else read >= low) & (read < high if below else read <= high)
+        inside, named = (F.when(hit, ok), F.when(hit, name)) if inside is None else (inside.when(hit, ok), named.when(hit, name))
+    verdict = F.when(_abv().isNull() & c("actual_alcohol_content").isNull(), "needs_review").otherwise("fail")
+    return F.when((c("beverage_type") == "wine") & c("_entry").isNotNull() & ~inside, finding("designation_abv_class", verdict, F.concat(named, F.lit(" within its limits of alcohol")), X.fmt_pct(read)))
+
+
+def check_declared_class() -> Column:
+    """For review where the label's designation neither says the declared class nor is the same entry, and the model's reading is not it either."""
+    want, got = c("declared_class_type"), c("_class")
+    same = F.coalesce(c("_entry")["entry"] == c("_declared_entry")["entry"], F.lit(False))
+    fits = X.equivalent(want, got) | F.contains(norm(got), norm(want)) | same | X.equivalent(want, c("label_class_type_model"))
+    return F.when(~blank(want) & ~blank(got) & ~fits, finding("declared_class_type", "needs_review", want, got, "The label's designation is not the declared one"))
+
+
+def check_commodity_statement() -> Column:
+    """Classes with neutral spirits must say the percentage and commodity (group 1) or what they are distilled from (group 2)."""
+    kind, said = K.folded(c("label_class_type")), norm(c("label_commodity_statement"))
+    one, two = (_holds(kind, STATEMENT_GROUPS[g]) for g in ("group_1", "group_2"))
+    form = F.when(one, c("label_commodity_statement").rlike(r"\d+(\.\d+)?\s*%") & F.contains(said, F.lit("neutral spirits"))).otherwise(F.contains(said, F.lit("distilled from")))
+    verdict = F.when(~blank(c("label_commodity_statement")) & form, "pass").otherwise("fail")
+    wanted = F.when(one, "__% NEUTRAL SPIRITS DISTILLED FROM ___").otherwise("DISTILLED FROM ___")
+    return F.when((c("beverage_type") == "spirits") & (one | two) & ~_specialty(), finding("commodity_statement", verdict, wanted, c("label_commodity_statement")))
+
+
 def coverage_note(findings: Column, least: int = 3) -> Column:
     """A note where at least so many failing or open findings have nothing extracted; else null."""
     empty = F.filter(findings, lambda f: f["verdict"].isin("fail", "needs_review") & (F.trim(F.coalesce(f["extracted"], F.lit(""))) == ""))
@@ -228,7 +322,7 @@ def duplicate_note() -> Column:
 
 
 #: Inputs that a table may lack: their checks then give nothing.
-OPTIONAL = {"label_varietals": "array<string>", "label_field_pages": "map<string,int>", "duplicate_of": "string"}
+OPTIONAL = {"label_varietals": "array<string>", "label_field_pages": "map<string,int>", "duplicate_of": "string", "declared_class_type": "string", "label_class_type_model": "string", "label_commodity_statement": "string"}
 
 
 #: Name -> check, in the order of their findings. register_check adds more.
@@ -238,25 +332,35 @@ CHECKS: dict[str, Callable[[], Column]] = {
     "standards_of_fill": check_standards_of_fill, "net_contents_form": check_malt_form, "alcohol_content": check_alcohol, "alcohol_tolerance": check_alcohol_tolerance, "alcohol_range": check_alcohol_range,
     "proof": check_proof, "tax_class": check_tax_class, "requires_appellation": check_requires_appellation, "vintage": check_vintage, "appellation": lambda: ladder("appellation"), "cocktail": check_cocktail,
     "varietals": check_varietals, "brand_label_placement": check_placement,
+    "class_type_designation": check_class_type, "designation_origin_qualifier": check_origin_qualifier, "designation_minimum_abv": check_minimum_abv, "designation_abv_class": check_abv_class,
+    "declared_class_type": check_declared_class, "commodity_statement": check_commodity_statement,
 }
 #: Checks that wine under PART_4_ABV skips.
-PART_4 = ("net_contents", "measurement_system", "standards_of_fill", "net_contents_form", "alcohol_content", "alcohol_tolerance", "alcohol_range", "proof", "tax_class", "requires_appellation", "vintage", "appellation", "varietals", "brand_label_placement")
+PART_4 = ("net_contents", "measurement_system", "standards_of_fill", "net_contents_form", "alcohol_content", "alcohol_tolerance", "alcohol_range", "proof", "tax_class", "requires_appellation", "vintage", "appellation", "varietals", "brand_label_placement",
+          "class_type_designation", "designation_origin_qualifier", "designation_minimum_abv", "designation_abv_class", "declared_class_type")
 
 
 def register_check(name: str, check: Callable[[], Column]) -> None:
     CHECKS[name] = check
 
 
-def evaluate(df: DataFrame, least_confidence: float = 0.5) -> DataFrame:
-    """Adds findings and overall. Illegible records (label_legible false, or confidence under the least) get request_retake and no findings."""
+def evaluate(df: DataFrame, least_confidence: float = 0.5, entries: Sequence[dict] = tuple(K.DEFAULT)) -> DataFrame:
+    """Adds findings and overall. Illegible records (label_legible false, or confidence under the least) get request_retake and no findings.
+
+    entries: the designations, shipped or of catalogue.entries_of."""
     lacking = {n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in df.columns}
     df = df.withColumns(lacking) if lacking else df
     outside = F.coalesce((c("beverage_type") == "wine") & (F.coalesce(_abv(), c("_alcohol")["percent"]) < PART_4_ABV), F.lit(False))
     cols = {f"_{n}": (F.when(~outside, f()) if n in PART_4 else f()) for n, f in CHECKS.items()}
-    staged = df.withColumns(parsed()).withColumns(cols).withColumn("_coverage", F.when(outside, finding("part_4_coverage", "not_applicable")))
+    staged = df.withColumns(parsed())
+    stages = classified(entries)
+    for stage in stages:
+        staged = staged.withColumns(stage)
+    helpers = [n for stage in stages for n in stage]
+    staged = staged.withColumns(cols).withColumn("_coverage", F.when(outside, finding("part_4_coverage", "not_applicable")))
     staged = staged.withColumn("findings", F.concat(F.filter(F.array(*cols, "_coverage"), lambda f: f.isNotNull()), check_disclosures()))
     notes = F.filter(F.array(coverage_note(c("findings")), duplicate_note()), lambda f: f.isNotNull())
     staged = staged.withColumn("findings", F.concat("findings", notes))
     retake = ~F.coalesce(c("label_legible"), F.lit(True)) | F.coalesce(c("label_confidence") < least_confidence, F.lit(False))
-    out = staged.drop(*cols, *parsed(), "_coverage", *lacking).withColumn("findings", F.when(retake, F.slice("findings", 1, 0)).otherwise(c("findings")))
+    out = staged.drop(*cols, *parsed(), *helpers, "_coverage", *lacking).withColumn("findings", F.when(retake, F.slice("findings", 1, 0)).otherwise(c("findings")))
     return out.withColumn("overall", F.when(retake, "request_retake").otherwise(worst_of_array(c("findings"))))

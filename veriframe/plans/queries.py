@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import parsers as P
 from veriframe.functions import text as X
-from veriframe.operators import evidence, grounding, joins, latest, lifecycle, roles
-from veriframe.sources import ingest
+from veriframe.operators import evidence, external, grounding, joins, latest, lifecycle, roles
+from veriframe.plans import catalogue
+from veriframe.sources import forms, ingest
 from veriframe.streaming import progress
 
 QUERIES, SQL = {}, {}
@@ -316,3 +317,51 @@ def grounded_names(spark, d):
     line = lambda x: F.struct(F.col(x).alias("text"))
     p = t(spark, d, "part").select("p_partkey", F.array(line("p_name"), line("p_brand"), line("p_type")).alias("words"), F.col("p_type").alias("target"))
     return grounding.best_window(p, "words", "target").select("p_partkey", "match.start", "match.stop", "match.text", "match.score", "match.fused")
+
+
+@query("""select c_custkey, 'C-' || lpad(cast(c_custkey as varchar), 6, '0') serial_number, c_name brand_name, case when c_custkey % 3 > 0 then 'Blend ' || c_nationkey end fanciful_name, c_name || ', Nation ' || c_nationkey applicant_name_address,
+ case when c_mktsegment = 'BUILDING' then 'IMPORTED ' else '' end || c_mktsegment || ' WHISKY' declared_class_type, c_mktsegment = 'BUILDING' imported, 'spirits' beverage_type from customer""")
+def form_texts(spark, d):
+    """Forms that the customers would have filled in, read back."""
+    c = t(spark, d, "customer")
+    pad = lambda left, right: F.concat(F.rpad(left, 58, " "), right)
+    lines = [pad(F.lit("4. SERIAL NUMBER"), F.lit(forms.APPLICANT)), pad(F.concat(F.lit("   C-"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")), F.col("c_name")), pad(F.lit(""), F.lit("(Required)")),
+             pad(F.lit(""), F.concat(F.lit("Nation "), "c_nationkey")), F.lit(forms.BRAND), F.lit(""), F.concat(F.lit("  "), "c_name"), F.lit(forms.FANCIFUL),
+             F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit(" Blend "), "c_nationkey")).otherwise("9. FORMULA"), F.lit(forms.CLASS),
+             F.concat(F.lit("  "), F.when(F.col("c_mktsegment") == "BUILDING", "IMPORTED ").otherwise(""), "c_mktsegment", F.lit(" WHISKY")), F.lit(""), F.lit("AFFIX COMPLETE SET OF LABELS")]
+    docs = c.select("c_custkey", F.concat_ws("\n", *lines).alias("text"), F.lit("form.pdf").alias("filename"))
+    return forms.parse_form_text(docs).select("c_custkey", "serial_number", "brand_name", "fanciful_name", "applicant_name_address", "declared_class_type", "imported", "beverage_type")
+
+
+@query("select s_suppkey, 'NATION ' || s_nationkey origin, case when s_suppkey % 4 > 0 then 1990 + s_suppkey % 30 end vintage from supplier")
+def detail_pages(spark, d):
+    year = F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("Vintage "), 1990 + F.col("s_suppkey") % 30)).otherwise("none")
+    s = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("<tr><td><b>Origin Code:</b></td>\n<td>&nbsp;NATION "), "s_nationkey", F.lit(" </td></tr>\n<tr><td>Wine Vintage:</td>\n<td>"), year, F.lit("</td></tr>")).alias("html"))
+    return forms.parse_detail_pages(s).select("s_suppkey", "origin", "vintage")
+
+
+@query("""with v(kind, i, name) as (values ('malt',0,'standard'),('malt',1,'promo'),('malt',1,'brushed'),('wine',0,'economy anodized'),('wine',1,'steel'),('wine',2,'economy'),('spirits',0,'small plated brass')),
+p as (select p_partkey, lower(p_type) x, case p_partkey % 3 when 0 then 'malt' when 1 then 'wine' else 'spirits' end kind from part),
+m as (select p_partkey, i, case when x = name then 1 when contains(' '||x||' ', ' '||name||' ') then 2 end tier from p join v using (kind))
+select p.p_partkey, e.entry from p left join (select p_partkey, arg_min(i, tier*10+i) entry from m where tier is not null group by 1) e using (p_partkey)""")
+def designation_lookup(spark, d):
+    names = {"malt": [["standard"], ["promo", "brushed"]], "wine": [["economy anodized"], ["steel"], ["economy"]], "spirits": [["small plated brass"]]}
+    entries = [{"commodity": k, "entry": i, "names": n, "kind": "type", "sufficient": "true"} for k, of in names.items() for i, n in enumerate(of)]
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", catalogue.lookup(catalogue.folded(F.col("p_type")), kind, entries)["entry"].alias("entry"))
+
+
+@query("""with s as (select l_orderkey, case l_linenumber when 1 then 'brand_name' else 'class_type_designation' end slot, l_linenumber from lineitem where l_linenumber in (1, 2) and l_linestatus = 'F'),
+f as (select l_orderkey, case l_linenumber when 1 then 'brand_name' else 'class_type_designation' end slot, case l_returnflag when 'R' then 5 when 'A' then 4 else 2 end v from lineitem where l_linenumber <= 4)
+select l_orderkey, slot, case max(v) when 5 then 'fail' when 4 then 'needs_review' else 'pass' end verdict, count(*) n_checks from s join f using (l_orderkey, slot) group by 1, 2""")
+def finding_overlay(spark, d):
+    li = t(spark, d, "lineitem")
+    slot = F.when(F.col("l_linenumber") == 1, "brand_name").otherwise("class_type_designation")
+    box = F.struct(*[F.lit(i).alias(n) for i, n in enumerate(("x", "y", "width", "height"))])
+    slots = li.filter("l_linenumber in (1, 2)").select("l_orderkey", slot.alias("field"), F.lit("text").alias("text"), F.lit(1).alias("page"), box.alias("bbox"), F.when(F.col("l_linestatus") == "F", "ocr").otherwise("model").alias("bbox_source"))
+    check = F.element_at(F.array(*map(F.lit, ("brand_name", "class_type_designation", "designation_minimum_abv", "declared_class_type"))), F.col("l_linenumber").cast("int"))
+    verdict = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "needs_review").otherwise("pass")
+    none = F.lit(None).cast("string")
+    finding = F.struct(check.alias("field"), verdict.alias("verdict"), none.alias("expected"), none.alias("extracted"), none.alias("citation"), none.alias("note"))
+    findings = li.filter("l_linenumber <= 4").select("l_orderkey", finding.alias("finding"))
+    return external.overlay(slots, findings, ["l_orderkey"]).select("l_orderkey", "slot", "verdict", "n_checks")

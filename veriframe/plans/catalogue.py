@@ -125,24 +125,27 @@ def folded(c: Column) -> Column:
 
 
 def _literal(entries: Sequence[dict], commodity: str) -> Column:
-    return F.from_json(F.lit(json.dumps([e for e in entries if e["commodity"] == commodity])), f"array<struct<{_fields()}>>")
-
-
-def _fields() -> str:
-    return ",".join(f"{n}:{kind}" for n, kind in (x.split(" ") for x in ENTRY.split(", ")))
+    """The commodity's entries; padded holds their names between spaces."""
+    rows = [e | {"padded": [f" {n} " for n in e["names"]]} for e in entries if e["commodity"] == commodity]
+    kinds = [x.split(" ") for x in ENTRY.split(", ")]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<" + ",".join(f"{n}:{kind}" for n, kind in [*kinds, ["padded", "array<string>"]]) + ">>")
 
 
 def lookup(text: Column, commodity: Column, entries: Sequence[dict] = tuple(DEFAULT)) -> Column:
     """The entry of commodity that a normalised, folded text names: equal to a name before containing one between token borders, then the first. Null if none."""
-    def best(of: str) -> Column:
-        tier = lambda e: F.when(F.array_contains(e["names"], text), 0).when(F.exists(e["names"], lambda n: X.token_bounded(text, n)), 1)
+    def best(of: str, padded: Column) -> Column:
+        tier = lambda e: F.when(F.array_contains(e["padded"], padded), 0).when(F.exists(e["padded"], lambda n: F.contains(padded, n)), 1)
         hits = F.transform(_literal(entries, of), lambda e: F.struct(tier(e).alias("tier"), e["entry"].alias("entry"), e.alias("found")))
         return F.array_min(F.filter(hits, lambda h: h["tier"].isNotNull()))["found"]
 
-    out = None
-    for of in COMMODITIES:
-        out = F.when(commodity == of, best(of)) if out is None else out.when(commodity == of, best(of))
-    return F.when(text != "", out)
+    def of_kind(padded: Column) -> Column:
+        out = None
+        for of in COMMODITIES:
+            out = F.when(commodity == of, best(of, padded)) if out is None else out.when(commodity == of, best(of, padded))
+        return F.when(padded != "  ", out)
+
+    # an array of one binds the text, so that it is normalised once and not for every name
+    return F.get(F.transform(F.array(F.concat(F.lit(" "), text, F.lit(" "))), of_kind), F.lit(0))
 
 
 def other_commodity(text: Column, own: Column, entries: Sequence[dict] = tuple(DEFAULT)) -> Column:

@@ -185,7 +185,7 @@ def check_vintage() -> Column:
 
 def check_cocktail() -> Column:
     kind = norm(c("label_class_type"))
-    hit = F.exists(F.array(*map(F.lit, COCKTAILS)), lambda n: F.contains(F.concat(F.lit(" "), kind, F.lit(" ")), F.concat(F.lit(" "), n, F.lit(" "))))
+    hit = kind.rlike(f"(^| )({'|'.join(COCKTAILS)})( |$)")
     return F.when((c("beverage_type") == "spirits") & hit & ~F.contains(kind, F.lit("made with")), finding("cocktail", "fail", None, c("label_class_type")))
 
 
@@ -236,21 +236,23 @@ def classified(entries: Sequence[dict]) -> list[dict[str, Column]]:
     text = {"_swapped": swap}
     chosen = {"_class": F.when(c("_swapped"), fanciful).otherwise(kind)}
     found = {"_entry": K.lookup(K.folded(c("_class")), c("beverage_type"), entries), "_declared_entry": K.lookup(K.folded(c("declared_class_type")), c("beverage_type"), entries),
-             "_other": K.other_commodity(K.folded(c("_class")), c("beverage_type"), entries)}
+             "_other": K.other_commodity(K.folded(c("_class")), c("beverage_type"), entries),
+             "_class_text": norm(c("_class")), "_declared_text": norm(c("declared_class_type"))}
     return [text, chosen, found]
 
 
 def _holds(text: Column, words: Sequence[str]) -> Column:
-    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(False))
+    """One of the words (letters, digits and spaces) stands anywhere in text."""
+    return F.coalesce(text.rlike("|".join(words)), F.lit(False))
 
 
 def _specialty() -> Column:
-    return _holds(norm(c("declared_class_type")), SPECIALTIES)
+    return _holds(c("_declared_text"), SPECIALTIES)
 
 
 def check_class_type() -> Column:
     """In the catalogue: by whether the name is enough. Else a bare color or another commodity's name fails, and a grape with an appellation passes with a note."""
-    e, text, wine = c("_entry"), norm(c("_class")), F.coalesce(c("beverage_type") == "wine", F.lit(False))
+    e, text, wine = c("_entry"), c("_class_text"), F.coalesce(c("beverage_type") == "wine", F.lit(False))
     none = F.array().cast("array<string>")
     grapes = F.filter(F.transform(F.concat(F.coalesce("varietals", none), F.coalesce("label_varietals", none)), norm), lambda v: v != "")
     grape = wine & ~(blank(c("label_appellation")) & blank(c("appellation"))) & F.exists(grapes, lambda v: F.contains(text, v))
@@ -268,12 +270,12 @@ def check_origin_qualifier() -> Column:
     """A domestic product with a designation of foreign origin needs a word that says so."""
     e = c("_entry")
     foreign = e["qualifier"].isNotNull() & ~F.coalesce(c("imported"), F.lit(False)) & ~F.contains(F.coalesce(e["produced_in"], F.lit("")), F.lit("United States"))
-    return F.when(foreign & ~_holds(norm(c("_class")), QUALIFIERS), finding("designation_origin_qualifier", "fail", F.concat(c("_class"), F.lit(" type / American "), c("_class")), c("_class")).withField("note", e["qualifier"]))
+    return F.when(foreign & ~_holds(c("_class_text"), QUALIFIERS), finding("designation_origin_qualifier", "fail", F.concat(c("_class"), F.lit(" type / American "), c("_class")), c("_class")).withField("note", e["qualifier"]))
 
 
 def check_minimum_abv() -> Column:
     """The label's alcohol is not under the designation's least; specialties, cocktails and drinks with a spirit in them are exempt."""
-    e, text, read = c("_entry"), norm(c("_class")), c("_alcohol")["percent"]
+    e, text, read = c("_entry"), c("_class_text"), c("_alcohol")["percent"]
     cocktail = F.contains(text, F.lit("made with")) & _holds(text, COCKTAILS)
     component = _holds(text, COMPONENTS) & F.exists(e["names"], lambda n: F.contains(text, n))
     verdict = F.when(c("alcohol_content").isNull(), "needs_review").otherwise("fail")
@@ -282,7 +284,7 @@ def check_minimum_abv() -> Column:
 
 def check_abv_class() -> Column:
     """Wine of a designation with bounds of alcohol keeps within them."""
-    text, read = norm(c("_class")), F.coalesce(c("_alcohol")["percent"], _abv())
+    text, read = c("_class_text"), F.coalesce(c("_alcohol")["percent"], _abv())
     inside, named = None, None
     for name, low, high, above, below in ABV_CLASSES:
         hit, ok = X.token_bounded(text, F.lit(name)), (read > low if above else read >= low) & (read < high if below else read <= high)
@@ -295,7 +297,7 @@ def check_declared_class() -> Column:
     """For review where the label's designation neither says the declared class nor is the same entry, and the model's reading is not it either."""
     want, got = c("declared_class_type"), c("_class")
     same = F.coalesce(c("_entry")["entry"] == c("_declared_entry")["entry"], F.lit(False))
-    fits = X.equivalent(want, got) | F.contains(norm(got), norm(want)) | same | X.equivalent(want, c("label_class_type_model"))
+    fits = X.equivalent(want, got) | F.contains(c("_class_text"), c("_declared_text")) | same | X.equivalent(want, c("label_class_type_model"))
     return F.when(~blank(want) & ~blank(got) & ~fits, finding("declared_class_type", "needs_review", want, got, "The label's designation is not the declared one"))
 
 

@@ -279,6 +279,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_copies_at_the_threshold_by_brute_force(spark):
+    rng, rows, pairs = random.Random(11), [], []
+    for k in range(900):
+        n = rng.randrange(120, 400)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for p in rng.sample(range(2, n - 4, 6), round(n * rng.uniform(0.016, 0.03))):
+            b[p] = f"v{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        x, y = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (a, b))
+        pairs.append((2 * k, len(x & y) / len(x | y)))
+    got = {r.doc_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i in got for i, j in pairs if 0.8 <= j <= 0.85]
+    assert len(near) > 150 and np.mean(near) >= 0.99
+    assert not [i for i, j in pairs if j < 0.8 and i in got] and len([1 for _, j in pairs if 0.72 < j < 0.8]) > 150
+
+
 @pytest.mark.parametrize("text, choices", [
     ("MIT", ["mit"]), ("MIT OR Apache-2.0", ["mit", "apache-2.0"]), ("(MIT OR BSD) AND GPL-2.0-only WITH Classpath-exception-2.0", ["gpl-2.0-only with classpath-exception-2.0+mit", "bsd+gpl-2.0-only with classpath-exception-2.0"]),
     ("A OR B AND C */", ["a", "b+c"]), ("", None), ("AND", None), ("(MIT", None)])

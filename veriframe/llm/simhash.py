@@ -21,8 +21,12 @@ from veriframe.llm.shared import (
 )
 
 BUCKET_ROWS = 1024
-#: Fingerprint of near copies by similarity: 64-bit lanes, and segments of 16 bits.
-LANES = 10
+#: Fingerprint of near copies by similarity: 64-bit lanes, and bytes of the chain that rows carry.
+LANES, CHAIN = 10, 32
+#: Standard deviations of the differing bits that a chain and its first lane may be above the expected share,
+#: and that it is below it where no pair of less similarity is expected.
+SLACK, LANE_SLACK, SURE = 5, 4.3, 4
+WIDE_BUCKET_ROWS = 8192
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -142,51 +146,99 @@ def wide_fingerprint(text: str | None, shingle: int, lanes: int, known: dict[byt
     return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
 
 
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct word shingles as 64-bit hashes; a shorter text is one shingle."""
+    words = [xxhash.xxh64_intdigest(w, 7) for w in _words(text)]
+    x = np.array(words, np.uint64)
+    n = max(1, len(x) - shingle + 1) if len(x) else 0
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(shingle, len(x))):
+            h = _mix(h * np.uint64(3) + x[k : k + n] + np.uint64(_GOLDEN))
+    return np.unique(h)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as distinct values; 0 of two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (doc_id, text) have a Jaccard similarity of word shingles of at least similarity."""
+    ids = materialize(pairs.selectExpr("explode(array(a, b)) node").distinct())
+    some = join_small(texts, ids, F.col("doc_id") == F.col("node"), "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
+        for pdf in batches:
+            ok = np.zeros(len(pdf), bool)
+            for k, (b, x, y) in enumerate(zip(pdf["b"], pdf["x"], pdf["y"])):
+                if at != (b, y):  # rows come sorted by b
+                    at, held = (b, y), _shingles(y, shingle)
+                ok[k] = jaccard(_shingles(x, shingle), held) >= similarity
+            yield pdf.loc[ok, ["a", "b"]]
+
+    left = pairs.join(some.selectExpr("doc_id a", "text x").hint("merge"), "a")
+    return left.join(some.selectExpr("doc_id b", "text y").hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = LANES) -> DataFrame:
-    """(doc_id, component_id) of the documents whose word shingles are similar to another's, by wide fingerprints.
+    """(doc_id, component_id) of the documents whose word shingles are similar to another's.
 
-    The Jaccard similarity s of two shingle sets of one size is the cosine 2s / (1 + s), whose angle is the
-    share of differing bits; pairs within that distance link. Two rows meet where one of the 4 * lanes
-    16-bit segments is equal (at 0.8 with 10 lanes 95 of 100 pairs do, at 0.85 99 of 100), and chains from
-    there on must keep within twice their proportional budgets before the full Hamming check. Documents
-    without words are one group. Documents alone in their group get no row."""
-    m = 4 * lanes
-    most = int(np.ceil(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi * 1.03))
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s) or more, whose angle is the most that is expected as
+    share of differing bits. Two rows meet where one of the 12-bit segments is equal (at 0.8 with 10 lanes all but
+    2 of 1,000 pairs do), and the chain of CHAIN bytes from there on must keep within that share and SLACK standard
+    deviations. What is left is verified by exact Jaccard. Rows whose chains are SURE deviations below the share
+    give a spanning forest of such pairs, others all pairs. Documents without words are one group. Documents
+    alone in their group get no row."""
+    m = 64 * lanes // 12
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+
+    def bound(bits: int, deviations: float) -> int:
+        return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+    lane_most, most, sure = bound(64, LANE_SLACK), bound(8 * CHAIN, SLACK), bound(8 * CHAIN, -SURE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [wide_fingerprint(t, shingle, lanes, known) for t in pdf["text"]]})
 
-    fps = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                      .filter("doc_id is not null").mapInPandas(run, "doc_id long, fp binary"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    fps = materialize(texts.mapInPandas(run, "doc_id long, fp binary"))
     each = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    segs = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = each.select("low", "fp", segs.alias("seg"))
-    rows = rows.withColumn("val", F.conv(F.hex(F.substring("fp", F.col("seg") * 2 + 1, F.lit(2))), 16, 10).cast("int"))
-    rows = spread_hot(rows, ["seg", "val"], "low", BUCKET_ROWS)
+    rows = each.select("low", "fp", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("seg"))
+    two = F.conv(F.hex(F.substring("fp", F.expr("div(seg * 12, 8) + 1").cast("int"), F.lit(2))), 16, 10).cast("int")
+    val = F.when(F.col("seg") % 2 == 0, F.shiftright(two, 4)).otherwise(two.bitwiseAND(F.lit(4095)))
+    chain = F.substring(F.concat("fp", "fp"), F.expr("div(seg * 12, 8) + 3").cast("int"), F.lit(CHAIN))
+    rows = rows.select("low", (F.col("seg") * 4096 + val).alias("val"), chain.alias("chain"))
+    rows = spread_hot(rows, ["val"], "low", WIDE_BUCKET_ROWS)
 
     def prepare(pdf: pd.DataFrame) -> dict:
-        words = np.frombuffer(b"".join(pdf["fp"]), dtype="<u2").reshape(len(pdf), m)
-        return {"fp": words, "seg": pdf["seg"].to_numpy(), "low": pdf["low"].to_numpy()}
+        return {"chain": np.frombuffer(b"".join(pdf["chain"]), dtype="<u8").reshape(len(pdf), CHAIN // 8), "low": pdf["low"].to_numpy()}
+
+    def distance(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x["chain"][i] ^ x["chain"][j]).sum(axis=1, dtype=np.int64)
 
     def linked(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.zeros(len(i), bool)
-        left, total = np.arange(len(i)), np.zeros(len(i), np.int64)
-        for step in range(1, 5):
-            s = (x["seg"][i[left]] + step) % m
-            total = total + np.bitwise_count(x["fp"][i[left], s] ^ x["fp"][j[left], s])
-            keep = total <= 2 * (step + 1) * most / m
-            left, total = left[keep], total[keep]
-        full = np.bitwise_count(x["fp"][i[left]] ^ x["fp"][j[left]]).sum(axis=1, dtype=np.int64)
-        ok[left[full <= most]] = True
+        first = x["chain"][:, 0]
+        ok = np.bitwise_count(first[i] ^ first[j]) <= lane_most
+        left = np.flatnonzero(ok)
+        ok[left] = distance(x, i[left], j[left]) <= most
         return ok
 
     def emit(x: dict, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        member, root = forest(len(x["low"]), i, j)
-        return pd.DataFrame({"a": x["low"][member], "b": x["low"][root]})
-
-    comp = connected_components(compare_buckets(rows, ["seg", "val"], prepare, linked, emit, "a long, b long"))
+        near = distance(x, i, j) <= sure
+        label = np.arange(len(x["low"]))
+        member, root = forest(len(label), i[near], j[near])
+        label[member] = root
+        apart = label[i] != label[j]
+        u, v = x["low"][np.r_[member, i[apart]]], x["low"][np.r_[root, j[apart]]]
+        return pd.DataFrame({"a": np.maximum(u, v), "b": np.minimum(u, v)})
+
+    pairs = materialize(compare_buckets(rows, ["val"], prepare, linked, emit, "a long, b long").filter("a <> b").distinct())
+    comp = connected_components(_verified(pairs, texts, shingle, similarity))
     named = each.join(comp.hint("merge"), F.col("low") == F.col("node"), "left")
     named = named.filter("node is not null or n > 1").select("fp", F.coalesce("component", "low").alias("component_id"))
     return fps.join(named.hint("merge"), "fp").select("doc_id", "component_id")

@@ -208,6 +208,17 @@ def test_bm25_prefers_shared_rare_terms():
     assert index.neighbours(2, np.array([0, 0, 0, 1], bool), 12, 4)[:1] != [3]
 
 
+def test_bm25_goes_on_to_all_neighbours():
+    rng = np.random.default_rng(3)
+    a = [np.r_[rng.choice(9, 4, replace=False), 100 + k % 2].astype(np.uint16) for k in range(300)]  # short texts: far more neighbours than are asked for at once
+    a += [np.r_[np.arange(200, 212), 300].astype(np.uint16), np.arange(200, 212).astype(np.uint16), np.array([300, 301], np.uint16), np.array([300, 302], np.uint16)]
+    index = packing.Bm25(a)
+    got = list(index.search(0, np.zeros(len(a), bool), 2, 16))
+    want = [k for k in range(1, len(a)) if any(index.idf[x] > 0 and x in a[k] for x in set(a[0].tolist()))]
+    assert sorted(got) == want and len(want) > 150
+    assert sorted(index.search(300, np.zeros(len(a), bool), 12, 64)) == [301, 302, 303]  # 302 and 303 share the 13th term alone
+
+
 def test_embeddings_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(rabitq, "BUCKET", 16)
     monkeypatch.setattr(rabitq, "BLOCK", 20)

@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index fills each window with its seed's neighbours.
 
 Partitions are cut into shards. Windows that a document fills alone are emitted at once; what is left
-of each document enters its shard's index. A seed's rarest terms are looked up in the index, and the best
-unused neighbours fill its window greedily; the last one is cut where the window is full, and its rest is
+of each document enters its shard's index. A seed's rarest terms are looked up in the index, then its others while
+the window has room, and the best unused neighbours fill its window greedily; only where no text shares a term with
+the seed does the next unused text follow. The last one is cut where the window is full, and its rest is
 the next seed. What does not fill a window moves on to the partition's next shard, and at the end it
 is cut into powers of two, which need no padding."""
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +43,35 @@ class Bm25:
         weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))
         self.doc, self.weight = doc[order].astype(np.int32), weight[order]
 
-    def neighbours(self, seed: int, used: np.ndarray, query_terms: int, most: int) -> list[int]:
-        """Unused texts by falling score, at most most of them; ties by their order."""
+    def search(self, seed: int, used: np.ndarray, query_terms: int, most: int) -> Iterator[int]:
+        """All unused texts with a positive score, most at a time by falling score; ties by their order.
+
+        The seed asks with its query_terms rarest terms. When no text of a positive score is left, it asks on with twice
+        as many of its next terms, which add to the scores, until it has asked with all."""
         t = self.terms[self.first[seed] : self.first[seed + 1]]
-        if len(t) > query_terms:
-            t = t[np.argpartition(-self.idf[t], query_terms)[:query_terms]]
-        spans = [slice(self.start[x], self.start[x + 1]) for x in t if self.idf[x] > 0]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        score[used] = 0
-        score[seed] = 0
-        top = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))].tolist()
+        t = t[self.idf[t] > 0]
+        t = t[np.argsort(-self.idf[t], kind="stable")]
+        score, at = np.zeros(self.n), 0
+        while at < len(t):
+            spans = [slice(self.start[x], self.start[x + 1]) for x in t[at : at + query_terms]]
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+            at += query_terms
+            query_terms *= 2
+            while True:
+                free = (score > 0) & ~used
+                free[seed] = False
+                top = np.flatnonzero(free)
+                if not len(top):
+                    break
+                if len(top) > most:
+                    top = top[np.argpartition(-score[top], most)[:most]]
+                top = top[np.lexsort((top, -score[top]))]
+                yield from top.tolist()
+                score[top] = -np.inf  # given once; further terms do not bring them back
+
+    def neighbours(self, seed: int, used: np.ndarray, query_terms: int, most: int) -> list[int]:
+        """The first of search, at most most of them."""
+        return list(islice(self.search(seed, used, query_terms, most), most))
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, shard_docs: int = 2048, query_terms: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +107,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, shard_
                     while used[lowest]:
                         lowest += 1
                     seed = lowest
-                at, turn, near = 0, [seed], iter(index.neighbours(seed, used, query_terms, 64))
+                at, turn, near = 0, [seed], index.search(seed, used, query_terms, 64)
                 while at < window:
                     if turn:
                         k = turn.pop()

@@ -59,6 +59,12 @@ def test_locate(spark):
     assert got == ["OLD TOM", None, None]
 
 
+def test_locate_long_text(spark):
+    said = " ".join(f"WORD{k}" for k in range(20))
+    df = spark.createDataFrame([(["x", *said.split(), "y"], said)], "t array<string>, g string")
+    assert [(r.match.n, r.match.score) for r in evidence.locate(df, "t", "g").collect()] == [(20, 1.0)]
+
+
 def test_first_window(spark):
     df = spark.createDataFrame([(["net", "750", "mL", "x"],), ([],)], "t array<string>")
     assert [r.w for r in df.select(evidence.first_window(F.col("t"), 3, r"^\d+ mL$").alias("w")).collect()] == ["750 mL", None]

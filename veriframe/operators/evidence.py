@@ -41,15 +41,16 @@ def score_span(span: Column, target: Column) -> Column:
     return F.when(span == target, 1.0).when(F.contains(span, target) | F.contains(target, span) & (F.length(span) * 5 >= F.length(target)), 0.95).otherwise(1 - F.levenshtein(span, target) / longest)
 
 
-def locate(df: DataFrame, tokens: str, target: str, threshold: float = 0.8, most_tokens: int = 12) -> DataFrame:
+def locate(df: DataFrame, tokens: str, target: str, threshold: float = 0.8) -> DataFrame:
     """Adds match (start, n, text, score): the best span of consecutive tokens for the target, null below threshold.
 
     Spans are made from their lengths before any edit distance is taken; ties go to the earlier, then shorter span."""
     t, goal = F.col(tokens), F.col(target)
+    low, high = F.floor(F.length(goal) * SPAN_SHORT), F.ceil(F.length(goal) * SPAN_LONG)
     starts = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
-    counts = F.sequence(F.lit(1), F.least(F.lit(most_tokens), F.greatest(F.size(t), F.lit(1))))
+    counts = F.sequence(F.lit(1), F.greatest(F.least(F.size(t), high.cast("int") + 1), F.lit(1)))
     spans = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(counts, lambda n: s + n - 1 <= F.size(t)), lambda n: F.struct(s.alias("start"), n.alias("n"), F.array_join(F.slice(t, s, n), " ").alias("text")))))
-    fits = F.filter(spans, lambda x: (F.length(x["text"]) >= F.floor(F.length(goal) * SPAN_SHORT)) & (F.length(x["text"]) <= F.ceil(F.length(goal) * SPAN_LONG)))
+    fits = F.filter(spans, lambda x: (F.length(x["text"]) >= low) & (F.length(x["text"]) <= high))
     scored = F.transform(fits, lambda x: F.struct(score_span(x["text"], goal).alias("score"), (-x["start"]).alias("back"), (-x["n"]).alias("less"), x["text"].alias("text")))
     best = F.array_max(scored)
     return df.withColumn("match", F.when(best["score"] >= threshold, F.struct((-best["back"]).alias("start"), (-best["less"]).alias("n"), best["text"].alias("text"), best["score"].alias("score"))))

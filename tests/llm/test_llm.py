@@ -56,6 +56,11 @@ def test_html_broken_and_other_templates(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_sibling_containers():
+    page = "<body><div class=page><section id=s1><p>the first and by far the heaviest section of all</p></section><section id=s2><p>second</p></section><div class=ad>buy</div></div></body>"
+    assert html.main_text(page, None)[0] == "the first and by far the heaviest section of all second"
+
+
 def test_segments_are_maximal():
     model, rng = toxicity.Toxicity({}, -1.0), random.Random(1)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pandas as pd
 import xxhash
@@ -192,7 +193,8 @@ def nest(template: list[tuple[int, int, float]]) -> dict[int, tuple[int, int]]:
 
 
 def main_text(page: str | None, template: list[tuple[int, int, float]] | None) -> tuple[str, int]:
-    """(text, number of template tokens used). The slots of a page's article; without one, those of the path with most text."""
+    """(text, number of template tokens used). The slots of a page's article; without one, those in the smallest common
+    ancestor of the path with most text, its likes without class and id, and all paths with long runs."""
     tokens, runs = parse(page)
     nested = nest(template) if template else {}
     order: dict[int, list[float]] = {}
@@ -222,7 +224,10 @@ def main_text(page: str | None, template: list[tuple[int, int, float]] | None) -
                 mass[path] = mass.get(path, 0) + len(run)
         if mass:
             best = max(mass, key=lambda p: (mass[p], p))
-            kept = [s for s in slots if not s[2] and (s[0] == best or s[0].startswith(best + "/"))]
+            plain = lambda p: re.sub(r"\.[^/]*", "", p)
+            long = {s[0] for s in slots if not s[2] and s[1].count(" ") >= SHORT_RUN}
+            around = commonprefix([p.split("/") for p in mass if p == best or p in long or plain(p) == plain(best)])
+            kept = [s for s in slots if not s[2] and s[0].split("/")[: len(around)] == around]
     return " ".join(s[1] for s in kept), sum(k in fixed for k in keys)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veriframe.functions import text
 from veriframe.operators import evidence, joins, latest, lifecycle
 from veriframe.sources import ingest
 
@@ -89,3 +90,8 @@ def test_mutants_and_rates(spark):
     assert rows(lifecycle.pair_mutants(m, "serial").select("parent", "kind")) == [("1", "ODD")]
     df = spark.createDataFrame([(1, 3), (0, 0)], "a int, b int")
     assert [r.r for r in df.select(lifecycle.rate(F.col("a"), F.col("b")).alias("r")).collect()] == ["33.3", "n/a"]
+
+
+def test_redact_whole_documents(spark):
+    df = spark.createDataFrame([("x" * 600 + " password=abc end",)], "t string")
+    assert [r.t for r in df.select(text.redact(F.col("t"), None).alias("t")).collect()] == ["x" * 600 + " password=[FILTERED] end"]

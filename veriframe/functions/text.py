@@ -117,11 +117,11 @@ def collapse_spaced_words(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=\b\p{L}) (?=\p{L}\b)", "")
 
 
-def redact(c: Column, limit: int = 500) -> Column:
-    """Secrets become [FILTERED] behind their names; the rest is cut at limit characters."""
+def redact(c: Column, limit: int | None = 500) -> Column:
+    """Secrets become [FILTERED] behind their names; the text is cut at limit characters (None: whole, for documents)."""
     for pattern in SECRETS:
         c = F.regexp_replace(c, pattern, "$1[FILTERED]")
-    return F.substring(c, 1, limit)
+    return c if limit is None else F.substring(c, 1, limit)
 
 
 def first_rule(c: Column, rules: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:

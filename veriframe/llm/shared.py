@@ -17,9 +17,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,7 +32,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, when nothing will read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
@@ -42,18 +54,19 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int | None
 def connected_components(edges: DataFrame) -> DataFrame:
     """Columns a, b of links -> one row (node, component) per linked node, component being its smallest reachable node.
 
-    Large-star and small-star steps alternate until nothing changes; each step is a
-    map-side-combined minimum and a join that may be split, and is written to the shared folder."""
+    Large-star and small-star steps alternate until nothing changes. Minima are combined before the shuffle and written
+    out, so that the join of a node with many links reads plain tables and may be split between tasks; tables of
+    earlier steps are deleted."""
     e = materialize(edges.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     seen = None
     while True:
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.join(low.hint("merge"), "u").filter("v > u").selectExpr("v a", "m b").distinct()
-        large = large.filter("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").filter("b <> m").selectExpr("b a", "m b")
-        e = materialize(small.union(low).distinct())
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m"))
+        large = materialize(both.join(low.hint("merge"), "u").filter("v > u").selectExpr("v a", "m b").distinct())
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least.hint("merge"), "a").filter("b <> m").selectExpr("b a", "m b")
+        before, e = e, materialize(small.union(least).distinct())
+        discard(before, low, large, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.selectExpr("a node", "b component").union(e.selectExpr("b", "b").distinct())

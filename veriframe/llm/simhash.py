@@ -2,12 +2,13 @@
 
 Fingerprints are cut into segments on a ring. If two differ in at most t bits, then from some
 segment on every chain of l consecutive segments differs in at most l * t / m bits (m segments).
-Rows meet where a whole segment is equal; the chain from there must keep within its proportional
+Rows meet where a whole segment is equal; the chains from there must keep within their proportional
 budgets before the full Hamming check is made. Links stay inside tasks, which give back at most a
 spanning forest, so groups of copies never expand to all pairs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.shared import (
-    compare_buckets, connected_components, forest, join_small, materialize, spread_hot,
+    compare_buckets, connected_components, discard, forest, join_small, materialize, spread_hot,
 )
 
 BUCKET_ROWS = 1024
-#: Fingerprint of near copies by similarity: 64-bit lanes, and bytes of the chain that rows carry.
-LANES, CHAIN = 10, 32
-#: Standard deviations of the differing bits that a chain and its first lane may be above the expected share,
-#: and that it is below it where no pair of less similarity is expected.
-SLACK, LANE_SLACK, SURE = 5, 4.3, 4
-WIDE_BUCKET_ROWS = 8192
+#: Near copies by similarity: rows in a bucket to aim at and to compare at once, and rows with their shingles to compare at once.
+WIDE_BUCKET, WIDE_BUCKET_ROWS, VERIFY_ROWS = 8192, 8192, 512
+#: Share of pairs just at the similarity that meet in no segment.
+MISSED = 0.002
+#: Lanes of 64 bits in a chain, and the standard deviations of its differing bits that it may be above the expected share.
+CHAINS = ((1, 4.3), (4, 5.0))
+SLACK = 4.5
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -104,9 +106,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
     each = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     comp = connected_components(hamming_links(each.select("fp"), max_distance))
-    named = each.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_fp = named.select("fp", "component").join(least.hint("merge"), "component").select("fp", "component_id")
+    named = materialize(each.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = materialize(named.groupBy("component").agg(F.min("low").alias("component_id")))
+    of_fp = materialize(named.select("fp", "component").join(least.hint("merge"), "component").select("fp", "component_id"))
+    discard(named, least, each)
     out = fps.join(of_fp.hint("merge"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -121,11 +124,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int, lanes: int, known: dict[bytes, int]) -> bytes:
-    """64 * lanes bits by majority over the distinct word shingles; zero without words."""
+def wide_fingerprint(text: str | None, shingle: int, lanes: int, known: dict[bytes, int]) -> tuple[bytes, int]:
+    """64 * lanes bits by majority over the distinct word shingles, zero without words; and the digest of the set of shingles."""
     words = _words(text)
     if not words:
-        return bytes(8 * lanes)
+        return bytes(8 * lanes), _digest(np.zeros(0, np.uint64))
     if len(known) > 400_000:
         known.clear()
     for w in set(words).difference(known):
@@ -137,17 +140,18 @@ def wide_fingerprint(text: str | None, shingle: int, lanes: int, known: dict[byt
         for k in range(min(shingle, len(x))):
             h = _mix(h * np.uint64(3) + x[k : k + n] + np.uint64(_GOLDEN))
         h = np.unique(h)
+        digest = _digest(h)
         n, ones = len(h), np.zeros((8 * lanes, 8), np.int64)
         salt = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
         place = np.arange(8 * lanes, dtype=np.int64) * 256
         for at in range(0, n, 4096):
             byte = _mix(h[at : at + 4096, None] + salt).astype("<u8").view(np.uint8)
             ones += np.bincount((byte + place).ravel(), minlength=256 * 8 * lanes).reshape(-1, 256) @ _BITS
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes(), digest
 
 
-def _shingles(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct word shingles as 64-bit hashes; a shorter text is one shingle."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct word shingles as 64-bit hashes, sorted; a shorter text is one shingle, a text without words has none."""
     words = [xxhash.xxh64_intdigest(w, 7) for w in _words(text)]
     x = np.array(words, np.uint64)
     n = max(1, len(x) - shingle + 1) if len(x) else 0
@@ -164,84 +168,149 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, text) have a Jaccard similarity of word shingles of at least similarity."""
-    ids = materialize(pairs.selectExpr("explode(array(a, b)) node").distinct())
-    some = join_small(texts, ids, F.col("doc_id") == F.col("node"), "left_semi")
+def segmenting(rows: int, share: float) -> tuple[int, int, int]:
+    """(bits, m, lanes): width and number of segments for so many rows, of which pairs differ in share of their bits.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, None
-        for pdf in batches:
-            ok = np.zeros(len(pdf), bool)
-            for k, (b, x, y) in enumerate(zip(pdf["b"], pdf["x"], pdf["y"])):
-                if at != (b, y):  # rows come sorted by b
-                    at, held = (b, y), _shingles(y, shingle)
-                ok[k] = jaccard(_shingles(x, shingle), held) >= similarity
-            yield pdf.loc[ok, ["a", "b"]]
+    A segment is wide enough for WIDE_BUCKET rows a bucket, and there are enough for all but MISSED of the pairs to be equal in one."""
+    bits = max(12, math.ceil(math.log2(max(rows, 1) / WIDE_BUCKET)))
+    m = math.ceil(math.log(MISSED) / math.log(1 - (1 - share) ** bits))
+    return bits, m, math.ceil(m * bits / 64)
 
-    left = pairs.join(some.selectExpr("doc_id a", "text x").hint("merge"), "a")
-    return left.join(some.selectExpr("doc_id b", "text y").hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
+def _within(bits: int, share: float, deviations: float) -> int:
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, lanes: int = LANES) -> DataFrame:
-    """(doc_id, component_id) of the documents whose word shingles are similar to another's.
 
-    Sets of Jaccard similarity s have a cosine of 2s / (1 + s) or more, whose angle is the most that is expected as
-    share of differing bits. Two rows meet where one of the 12-bit segments is equal (at 0.8 with 10 lanes all but
-    2 of 1,000 pairs do), and the chain of CHAIN bytes from there on must keep within that share and SLACK standard
-    deviations. What is left is verified by exact Jaccard. Rows whose chains are SURE deviations below the share
-    give a spanning forest of such pairs, others all pairs. Documents without words are one group. Documents
-    alone in their group get no row."""
-    m = 64 * lanes // 12
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+def candidate_links(each: DataFrame, bits: int, m: int, lanes: int, share: float) -> DataFrame:
+    """each: (low, fp), ids and fingerprints. (a, b): a spanning forest, for every bucket, of the rows whose chains and whole fingerprints keep their budgets."""
+    start = F.expr(f"seg * {bits}")
+    rows = each.select("low", "fp", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("seg"))
+    five = F.conv(F.hex(F.substring(F.concat("fp", "fp"), (start / 8).cast("int") + 1, F.lit(5))), 16, 10).cast("long")
+    val = F.expr(f"shiftright(five, 40 - {bits} - seg * {bits} % 8)").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = rows.withColumn("five", five).select("low", "fp", (F.col("seg").cast("long") * (1 << bits) + val).alias("val"))
+    rows = spread_hot(rows, ["val"], "low", WIDE_BUCKET_ROWS)
+    chains = [(n, _within(64 * n, share, d)) for n, d in CHAINS if n < lanes]
+    most = _within(64 * lanes, share, SLACK)
+
+    def prepare(pdf: pd.DataFrame) -> dict:
+        fp = np.frombuffer(b"".join(pdf["fp"]), dtype="<u8").reshape(len(pdf), lanes)
+        first = ((pdf["val"].to_numpy() >> bits) * bits // 64 + 1) % lanes  # the lane behind the equal segment
+        return {"fp": fp, "first": first, "start": fp[np.arange(len(fp)), first], "low": pdf["low"].to_numpy()}
+
+    def linked(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if not chains:
+            return distance(x["fp"], i, j) <= most
+        left = np.flatnonzero(np.bitwise_count(x["start"][i] ^ x["start"][j]) <= chains[0][1])
+        for n, budget in chains[1:]:
+            lane = (x["first"][i[left], None] + np.arange(n)) % lanes
+            diff = x["fp"][i[left, None], lane] ^ x["fp"][j[left, None], lane]
+            left = left[np.bitwise_count(diff).sum(axis=1, dtype=np.int64) <= budget]
+        ok = np.zeros(len(i), bool)
+        ok[left] = distance(x["fp"], i[left], j[left]) <= most
+        return ok
 
-    def bound(bits: int, deviations: float) -> int:
-        return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+    def emit(x: dict, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        member, root = forest(len(x["low"]), i, j)
+        return pd.DataFrame({"a": x["low"][member], "b": x["low"][root]})
 
-    lane_most, most, sure = bound(64, LANE_SLACK), bound(8 * CHAIN, SLACK), bound(8 * CHAIN, -SURE)
+    return compare_buckets(rows, ["val"], prepare, linked, emit, "a long, b long").filter("a <> b").distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+
+def distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+
+
+def verified_links(members: DataFrame, texts: DataFrame, lanes: int, share: float, shingle: int, similarity: float) -> DataFrame:
+    """members: (low, fp, same, cluster). (a, b): links that connect the same rows as all pairs of a cluster with that Jaccard similarity.
+
+    A row's shingles are sent to its cluster, once for each part of a large one. Pairs go from the nearest
+    fingerprints on; those whose rows are connected already need no check, and what a task gives back is a forest."""
+    ids = members.select("low", "same")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [wide_fingerprint(t, shingle, lanes, known) for t in pdf["text"]]})
+            made = [shingles(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"low": pdf["doc_id"], "same": [_digest(h) for h in made], "set": [h.astype("<u8").tobytes() for h in made]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    fps = materialize(texts.mapInPandas(run, "doc_id long, fp binary"))
-    each = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    rows = each.select("low", "fp", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("seg"))
-    two = F.conv(F.hex(F.substring("fp", F.expr("div(seg * 12, 8) + 1").cast("int"), F.lit(2))), 16, 10).cast("int")
-    val = F.when(F.col("seg") % 2 == 0, F.shiftright(two, 4)).otherwise(two.bitwiseAND(F.lit(4095)))
-    chain = F.substring(F.concat("fp", "fp"), F.expr("div(seg * 12, 8) + 3").cast("int"), F.lit(CHAIN))
-    rows = rows.select("low", (F.col("seg") * 4096 + val).alias("val"), chain.alias("chain"))
-    rows = spread_hot(rows, ["val"], "low", WIDE_BUCKET_ROWS)
+    some = join_small(texts, ids.select("low").distinct(), F.col("doc_id") == F.col("low"), "left_semi")
+    found = some.mapInPandas(sets, "low long, same long, set binary").dropDuplicates(["low", "same"])
+    rows = spread_hot(members, ["cluster"], "low", VERIFY_ROWS).join(found.hint("merge"), ["low", "same"])
+    most = _within(64 * lanes, share, SLACK)
 
     def prepare(pdf: pd.DataFrame) -> dict:
-        return {"chain": np.frombuffer(b"".join(pdf["chain"]), dtype="<u8").reshape(len(pdf), CHAIN // 8), "low": pdf["low"].to_numpy()}
-
-    def distance(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x["chain"][i] ^ x["chain"][j]).sum(axis=1, dtype=np.int64)
+        made = [np.frombuffer(x, "<u8") for x in pdf["set"]]
+        return {"fp": np.frombuffer(b"".join(pdf["fp"]), dtype="<u8").reshape(len(pdf), lanes), "set": made, "n": np.array([len(x) for x in made]), "low": pdf["low"].to_numpy()}
 
     def linked(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        first = x["chain"][:, 0]
-        ok = np.bitwise_count(first[i] ^ first[j]) <= lane_most
+        n, k = x["n"][i], x["n"][j]
+        ok = np.minimum(n, k) >= similarity * np.maximum(n, k)  # no set of another size can be as similar
         left = np.flatnonzero(ok)
-        ok[left] = distance(x, i[left], j[left]) <= most
+        ok[left] = distance(x["fp"], i[left], j[left]) <= most
         return ok
 
     def emit(x: dict, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        near = distance(x, i, j) <= sure
-        label = np.arange(len(x["low"]))
-        member, root = forest(len(label), i[near], j[near])
-        label[member] = root
-        apart = label[i] != label[j]
-        u, v = x["low"][np.r_[member, i[apart]]], x["low"][np.r_[root, j[apart]]]
-        return pd.DataFrame({"a": np.maximum(u, v), "b": np.minimum(u, v)})
-
-    pairs = materialize(compare_buckets(rows, ["val"], prepare, linked, emit, "a long, b long").filter("a <> b").distinct())
-    comp = connected_components(_verified(pairs, texts, shingle, similarity))
+        order = np.argsort(distance(x["fp"], i, j), kind="stable")
+        i, j, label = i[order], j[order], np.arange(len(x["low"]))
+        a, b = [], []
+        while len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            # the nearest pair of every group, and the nearest pairs besides
+            now = np.union1d(np.unique(label[i], return_index=True)[1], np.arange(min(len(i), 64)))
+            ok = np.array([jaccard(x["set"][p], x["set"][q]) >= similarity for p, q in zip(i[now], j[now])], bool)
+            a.append(i[now][ok])
+            b.append(j[now][ok])
+            member, root = forest(len(label), np.r_[np.arange(len(label)), a[-1]], np.r_[label, b[-1]])
+            label[member] = root
+            i, j = np.delete(i, now), np.delete(j, now)
+        member, root = forest(len(label), np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"a": x["low"][member], "b": x["low"][root]})
+
+    return compare_buckets(rows, ["cluster"], prepare, linked, emit, "a long, b long")
+
+
+def _digest(h: np.ndarray) -> int:
+    """One long for a set of shingles."""
+    return xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 3) - (1 << 63)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of the documents whose word shingles are similar to another's; ids are whole numbers.
+
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s) or more, whose angle is the most that is expected as
+    share of differing bits. Two rows meet where a segment is equal (all but MISSED of the pairs at s do); the
+    chains of lanes from there on, and at last all bits, must keep within that share and a few standard deviations. The
+    connected rows are clusters of candidates, in which links are decided by exact Jaccard. Documents of equal shingles (those
+    without words too) are one group by that alone. Rows of one id are one document; those of null id, and documents
+    alone in their group, get no row. Long texts are hashed whole; an empty table gives no rows."""
+    _whole_ids(docs, id_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits, m, lanes = segmenting(texts.count(), share)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        for pdf in batches:
+            made = [wide_fingerprint(t, shingle, lanes, known) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [f for f, _ in made], "same": [s for _, s in made]})
+
+    fps = materialize(texts.mapInPandas(run, "doc_id long, fp binary, same long"))
+    each = materialize(fps.groupBy("same", "fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    near = materialize(connected_components(candidate_links(each.select("low", "fp"), bits, m, lanes, share)).toDF("low", "cluster"))
+    members = materialize(each.select("low", "fp", "same").join(near.hint("merge"), "low"))
+    links = verified_links(members, texts, lanes, share, shingle, similarity)
+    comp = materialize(connected_components(links))
     named = each.join(comp.hint("merge"), F.col("low") == F.col("node"), "left")
-    named = named.filter("node is not null or n > 1").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return fps.join(named.hint("merge"), "fp").select("doc_id", "component_id")
+    named = materialize(named.filter("node is not null or n > 1").select("same", "fp", F.coalesce("component", "low").alias("component_id")))
+    out = materialize(fps.join(named.hint("merge"), ["same", "fp"]).select("doc_id", "component_id"))
+    discard(fps, each, near, members, comp, named)
+    return out
+
+
+def _whole_ids(docs: DataFrame, id_col: str) -> None:
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be whole numbers, but {id_col} is {kind}")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

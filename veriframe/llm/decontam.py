@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.shared import WORD_BYTES, words_of
+from veriframe.llm.shared import WORD_BYTES, discard, materialize, words_of
 
 #: Characters of benchmark text that one pass over the documents searches for; larger benchmarks take more passes.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 #: Every so many positions of a run are sampled, and each run's first.
 SAMPLE = 16
 
@@ -97,20 +97,29 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], words: int):
         self.vocab: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
         self.items = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.items)}
+        codes, of, sizes = [], [], []
         for item, text in items:
-            codes = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            for at in range(max(1, len(codes) - words + 1) if codes else 0):
-                windows.setdefault(tuple(codes[at : at + words]), set()).add(number[item])
-        keys = list(windows)
-        self.size = np.array([len(k) for k in keys], np.int64)
-        self.least = int(self.size.min()) if keys else 1
-        self.codes = np.zeros((len(keys), words), np.int64)
-        for k, w in enumerate(keys):
-            self.codes[k, : len(w)] = w
-        self.of = [sorted(windows[k]) for k in keys]
+            c = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.int32)
+            if len(c):
+                made = np.zeros((max(1, len(c) - words + 1), words), np.int32)
+                size = min(len(c), words)
+                made[:, :size] = np.lib.stride_tricks.sliding_window_view(c, size)
+                codes.append(made)
+                of.append(np.full(len(made), number[item]))
+                sizes.append(np.full(len(made), size))
+        codes = np.concatenate(codes) if codes else np.zeros((0, words), np.int32)
+        of, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, sizes))
+        # one row of packed codes for each window, and the items that have it behind one another
+        self.codes, first, same = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+        self.size = sizes[first].astype(np.int64)
+        self.least = int(self.size.min()) if len(self.size) else 1
+        self.owner, self.owned = np.unique(np.c_[same.ravel(), of], axis=0).T.astype(np.int64)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        lo, hi = np.searchsorted(self.owner, windows), np.searchsorted(self.owner, windows, side="right")
+        return [self.items[k] for k in sorted({k for a, b in zip(lo, hi) for k in self.owned[a:b].tolist()})]
 
     def find(self, docs: list[np.ndarray]) -> list[tuple[list[list[int]], list[str]]]:
         """Of each document (codes of its words): merged spans of hit words (start, end), and the items."""
@@ -148,8 +157,7 @@ class Phrases:
                     spans[-1][1] = max(e, spans[-1][1])
                 else:
                     spans.append([s, e])
-            items = sorted({k for w in set(which[a:b].tolist()) for k in self.of[w]})
-            out[doc[a]] = spans, [self.items[k] for k in items]
+            out[doc[a]] = spans, self.items_of(np.unique(which[a:b]))
         return out
 
     def codes_of(self, text: str | None) -> np.ndarray:
@@ -157,27 +165,29 @@ class Phrases:
         return np.array([get(w, 0) for w in words], np.int64)
 
     def cut(self, text: str) -> str:
-        """text without its hit words and what stands between them; again until nothing is found, as a cut joins words."""
-        while True:
-            spans = self.find([self.codes_of(text)])[0][0]
-            if not spans:
-                return text
-            raw = text.encode()
-            kept = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
-            edge = np.flatnonzero(np.diff(np.r_[0, kept.astype(np.int8), 0]))
-            parts, at = [], 0
-            for s, e in spans:
-                parts.append(raw[at : edge[2 * s]])
-                at = int(edge[2 * e - 1])
-            text = b"".join([*parts, raw[at:]]).decode()
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The items with words, in blocks of about BLOCK_CHARS characters, so that what is sent to the tasks is bounded."""
+        """cut_spans again until nothing is found, as a cut joins words."""
+        while spans := self.find([self.codes_of(text)])[0][0]:
+            text = cut_spans(text, spans)
+        return text
+
+
+def cut_spans(text: str, spans: list[list[int]]) -> str:
+    """text without the words of spans and what stands between them."""
+    raw = text.encode()
+    kept = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(np.r_[0, kept.astype(np.int8), 0]))
+    parts, at = [], 0
+    for s, e in spans:
+        parts.append(raw[at : edge[2 * s]])
+        at = int(edge[2 * e - 1])
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks of about BLOCK_CHARS characters hold the items with words, and the blocks, each read when it is asked for."""
     b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null").distinct()
     n = 1 + (b.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
-    for k in range(n):
-        yield [tuple(r) for r in b.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
+    return n, ([tuple(r) for r in b.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()] for k in range(n))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -185,13 +195,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col: s
 
     A window is words consecutive words of an item, or a shorter item as a whole; items and documents that are null
     or have no words have none. Items of one text are all found; repeated rows are searched again. Documents
-    are not shuffled: each batch of a partition is a shard."""
+    are not shuffled: each batch of a partition is a shard. A benchmark of more than one block is searched block by
+    block, and what each finds is written out before the next is read."""
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
+    return _found(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, words, item_col, item_text_col, f"doc_id {kind}, text string").drop("text")
+
+
+def _found(out: DataFrame, benchmark: DataFrame, words: int, item_col: str, item_text_col: str, schema: str, keep_text: bool = False) -> DataFrame:
+    n, blocks = _blocks(benchmark, item_col, item_text_col)
     for k, items in enumerate(blocks):
-        phrases = docs.sparkSession.sparkContext.broadcast(items)
-        last = k == len(blocks) - 1
+        phrases = out.sparkSession.sparkContext.broadcast(items)
+        before, last = (out if k else None), k == n - 1 and not keep_text
 
         def run(batches: Iterator[pa.RecordBatch], k=k, last=last, phrases=phrases) -> Iterator[pa.RecordBatch]:
             p = Phrases(phrases.value, words)
@@ -204,8 +218,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col: s
                         pa.array([f[0] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[1] for f in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_words", "spans", "items"])
 
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, n_words long, spans array<array<long>>, items array<string>")
-    return out.drop("text")
+        out = out.mapInArrow(run, f"{schema}, n_words long, spans array<array<long>>, items array<string>")
+        if k < n - 1:
+            out = materialize(out)
+            phrases.unpersist()
+            if before is not None:
+                discard(before)
+    return out
 
 
 def _merged(found: tuple, spans: list, items: list) -> tuple[list[list[int]], list[str]]:
@@ -219,11 +238,34 @@ def _merged(found: tuple, spans: list, items: list) -> tuple[list[list[int]], li
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs with every hit span cut out of its text; all rows and columns stay, and clean texts are unchanged."""
-    for items in _blocks(benchmark, item_col, item_text_col):
-        phrases = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.withColumn(text_col, _cutter(phrases, words)(F.col(text_col)))
-    return docs
+    """docs with every hit span cut out of its text; all rows and columns stay, and clean texts are unchanged.
+
+    All hit words of a text go at once, and what is left is searched again, until no window of the whole benchmark is found: a
+    cut may join words to a new one. A benchmark of several blocks gives the same texts as one block: each round
+    searches all blocks before it cuts, and further rounds take only the texts that were cut."""
+    n, blocks = _blocks(benchmark, item_col, item_text_col)
+    if n == 1:
+        phrases = docs.sparkSession.sparkContext.broadcast(next(blocks))
+        return docs.withColumn(text_col, _cutter(phrases, words)(F.col(text_col)))
+    cutter = F.pandas_udf(_cut_all, "string")
+    clean, rest = [], docs
+    while True:
+        packed = rest.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col(text_col).alias("text"))
+        schema = packed.schema["doc_id"].dataType.simpleString()
+        found = materialize(_found(packed, benchmark, words, item_col, item_text_col, f"doc_id {schema}, text string", keep_text=True))
+        clean.append(found.filter("size(spans) = 0").select("doc_id.*"))
+        hit = found.filter("size(spans) > 0")
+        if hit.isEmpty():
+            break
+        rest = materialize(hit.select(*[cutter("text", "spans").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in docs.columns]))
+    out = clean[0]
+    for part in clean[1:]:
+        out = out.union(part)
+    return out
+
+
+def _cut_all(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut_spans(t, [list(x) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
 
 def _cutter(phrases, words: int):

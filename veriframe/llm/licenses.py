@@ -6,11 +6,12 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.shared import words_of
+from veriframe.llm.shared import WORD_BYTES
 
 #: Phrases of the base scan and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -24,7 +25,9 @@ NOTICES = {
 }
 #: How sure each kind of evidence is.
 TAG_SCORE, BASE_SCORE, NOTICE_SCORE = 1.0, 0.9, 0.7
-TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r]*)", re.I)
+#: Words of an identifier tag, and licences that ask for no more than a notice.
+TAG = "spdx license identifier"
+OPEN = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "cc0-1.0", "zlib", "cc-by-4.0"}
 EXPRESSION = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -58,24 +61,20 @@ def parse(text: str) -> list[str] | None:
     return good
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The choices that an expression leaves: each a set of licences that hold together; an exception joins its licence's name."""
-    stack: list[list[frozenset[str]]] = []
+def evaluate(postfix: list[str]) -> tuple[str, bool]:
+    """(expression, open): an expression in one way of writing, and whether it can be met by OPEN licences alone.
+
+    Of or one side must be open, of and both; an exception leaves its licence as it is. The length is that of the input."""
+    stack: list[tuple[str, bool, int]] = []
     for t in postfix:
         if t not in PRECEDENCE:
-            stack.append([frozenset([t])])
+            stack.append((t, t in OPEN, 4))
             continue
-        b, a = stack.pop(), stack.pop()
-        if t == "or":
-            stack.append(list(dict.fromkeys(a + b)))
-        elif t == "and":
-            if len(a) * len(b) > 256:  # its labels are the same; only the choices are not told apart
-                stack.append([frozenset().union(*a, *b)])
-            else:
-                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
-        else:
-            stack.append([frozenset(f"{x} with {'+'.join(sorted(frozenset().union(*b)))}" for x in s) for s in a])
-    return stack[0]
+        (b, open_b, inner_b), (a, open_a, inner_a) = stack.pop(), stack.pop()
+        mine = PRECEDENCE[t]
+        a, b = a if inner_a >= mine else f"({a})", b if inner_b >= mine else f"({b})"
+        stack.append((f"{a} {t} {b}", open_a or open_b if t == "or" else open_a and open_b if t == "and" else open_a, mine))
+    return stack[0][:2]
 
 
 @functools.cache
@@ -83,51 +82,73 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in {*BASE, *NOTICES, "spdx license identifier"}:
+    for phrase in {*BASE, *NOTICES, TAG}:
         a.add_word(f" {phrase} ", phrase)
     a.make_automaton()
     return a
 
 
+def tag_at(raw: bytes, end: int) -> list[str] | None:
+    """The expression of an identifier tag whose name ends at byte end: it stands behind a colon, on the same line."""
+    line = re.match(rb":[ \t]*([^\n\r]*)", raw[end : end + 1] and raw[end : (raw.find(b"\n", end) + 1 or len(raw) + 1) - 1])
+    return parse(line[1].decode("utf-8", "replace")) if line else None
+
+
 def scan(text: str | None) -> dict:
-    """What a whole text says: places of base phrases (every one, overlapping ones too), labels and the choices of its tags.
+    """What a whole text says: places of base phrases (every one, overlapping ones too), labels and its tags' expressions.
 
-    Of notice phrases that start at one word the longest counts. An identifier tag gives a label for every licence in it."""
-    words = words_of(text)
+    Of notice phrases that start at one word the longest counts. An identifier tag gives a label for every licence in it. One
+    pass of the automaton, and work in proportion to the text: the words before a hit are looked up, not counted again."""
+    raw = (text or "").encode()
+    spaced = raw.translate(WORD_BYTES)
+    words = spaced.split()
     s = " " + b" ".join(words).decode("latin-1") + " "
-    base, notes, tags = [], {}, False
+    starts = np.r_[0, np.cumsum([len(w) + 1 for w in words])]  # of each word, behind the first space
+    ends = np.flatnonzero(np.diff(np.r_[0, np.frombuffer(spaced, np.uint8) != 32, 0].astype(np.int8)) == -1)  # of each word in the text
+    base, notes, tags = [], {}, []
     for end, phrase in automaton().iter(s):
+        at = end - len(phrase)  # the phrase's first letter behind the first space, plus one
         if phrase in BASE:
-            base.append((s.count(" ", 0, end - len(phrase) - 1), BASE[phrase]))
+            base.append((int(np.searchsorted(starts, at - 1)), BASE[phrase]))
         if phrase in NOTICES or phrase in BASE:
-            at = end - len(phrase)
             notes[at] = max(notes.get(at, ""), phrase, key=len)
-        tags |= phrase == "spdx license identifier"
+        if phrase == TAG and (postfix := tag_at(raw, int(ends[np.searchsorted(starts, at - 1) + TAG.count(" ")]))):
+            tags.append(postfix)
     base_labels = {x for _, x in base}
     labels = base_labels | {NOTICES.get(p) or BASE[p] for p in notes.values()}
-    choices = []
-    for m in TAG.finditer(text) if tags else ():
-        if postfix := parse(m[1]):
-            choices += evaluate(postfix)
-    labels |= {x for c in choices for x in c}
+    labels |= {name for postfix in tags for name in licences(postfix)}
+    said = [evaluate(postfix) for postfix in tags]
     at = [p for p, _ in base]
     return {"n_words": len(words), "n_base": len(base), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted(base_labels)),
-            "labels": ",".join(sorted(labels)), "choices": "|".join(dict.fromkeys("+".join(sorted(c)) for c in choices)),
-            "score": TAG_SCORE if choices else BASE_SCORE if base else NOTICE_SCORE if labels else 0.0}
+            "labels": ",".join(sorted(labels)), "expressions": "|".join(dict.fromkeys(e for e, _ in said)), "open": all(o for _, o in said) if said else None,
+            "score": TAG_SCORE if tags else BASE_SCORE if base else NOTICE_SCORE if labels else 0.0}
+
+
+def licences(postfix: list[str]) -> list[str]:
+    """The licences of an expression, each with its exception."""
+    stack: list[list[str]] = []
+    for t in postfix:
+        if t not in PRECEDENCE:
+            stack.append([t])
+        else:
+            b, a = stack.pop(), stack.pop()
+            stack.append([f"{x} with {'+'.join(b)}" for x in a] if t == "with" else a + b)
+    return stack[0]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document, whole texts; a null or empty text has no words, no labels and score 0. Repeated rows and null ids keep their rows."""
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "choices", "score"]
+    """One row per document, whole texts of any length; a null or empty text has no words, no labels and score 0. Repeated rows and null ids keep their rows."""
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "open", "score"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pd.DataFrame([scan(t) for t in pdf["text"]], columns=names, index=pdf.index)
             for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
+            out["open"] = out["open"].astype("boolean")
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return src.mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, choices string, score double")
+    return src.mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions string, open boolean, score double")

@@ -67,48 +67,63 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds - (self.weights[i] * v).sum(), -50, 50)))
 
 
-def fit_rows(texts: list[str | None], grades: list[int], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Ordinal:
-    """Maximum likelihood by Adam; thresholds stay ordered as a first one and positive steps."""
+def loss(p: np.ndarray, idx: np.ndarray, val: np.ndarray, start: np.ndarray, of: np.ndarray, y: np.ndarray, k: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with its ridge, and the gradient. p: weights, first threshold, logs of the steps to the next ones.
+
+    idx, val: features of all rows, of which row r begins at start[r]; of: the row of each; y: places of the grades; k: thresholds."""
+    cut = 1 << BITS
+    steps = np.exp(p[cut + 1 :])
+    theta = np.r_[p[cut], p[cut] + np.cumsum(steps)]
+    eta = np.add.reduceat(p[idx] * val, start)
+    tail = 1 / (1 + np.exp(np.clip(theta - eta[:, None], -50, 50)))
+    full = np.c_[np.ones(len(y)), tail, np.zeros(len(y))]
+    like = np.maximum(full[np.arange(len(y)), y] - full[np.arange(len(y)), y + 1], 1e-9)
+    # d like / d (eta - theta_j): upper edge of its own grade +, lower edge -
+    sign = (y[:, None] == np.arange(1, k + 1)).astype(float) - (y[:, None] == np.arange(k))
+    g = -(sign * tail * (1 - tail)) / like[:, None] / len(y)
+    g_eta, g_theta = g.sum(axis=1), -g.sum(axis=0)
+    grad = np.r_[np.bincount(idx, val * g_eta[of], minlength=cut)[:cut] + ridge * p[:cut], g_theta.sum(), np.cumsum(g_theta[::-1])[::-1][1:] * steps]
+    return float(-np.log(like).mean() + ridge / 2 * (p[:cut] ** 2).sum()), grad
+
+
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Ordinal:
+    """rows: features of each text. Maximum likelihood by Adam; thresholds stay ordered as a first one and positive steps."""
     levels = sorted(set(grades))
     k = max(1, len(levels) - 1)
     if len(levels) < 2:
         return Ordinal(np.zeros(1 << BITS), np.full(k, -5.0), levels or [0])
-    y, known = np.searchsorted(levels, grades), {}
-    rows = [features(t, known) for t in texts]
+    y = np.searchsorted(levels, grades)
     idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     size = np.array([len(r[0]) for r in rows])
-    start = np.r_[0, np.cumsum(size)[:-1]]
-    of = np.repeat(np.arange(len(rows)), size)
-    p = np.r_[np.zeros(1 << BITS), 0.0, np.zeros(k - 1)]  # weights, first threshold, logs of the steps
-    m, v = np.zeros_like(p), np.zeros_like(p)
+    start, of = np.r_[0, np.cumsum(size)[:-1]], np.repeat(np.arange(len(rows)), size)
     cut = 1 << BITS
+    p = np.zeros(cut + k)
+    m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
-        steps = np.exp(p[cut + 1 :])
-        theta = np.r_[p[cut], p[cut] + np.cumsum(steps)]
-        eta = np.add.reduceat(p[idx] * val, start)
-        tail = 1 / (1 + np.exp(np.clip(theta - eta[:, None], -50, 50)))
-        full = np.c_[np.ones(len(y)), tail, np.zeros(len(y))]
-        like = np.maximum(full[np.arange(len(y)), y] - full[np.arange(len(y)), y + 1], 1e-9)
-        slope = tail * (1 - tail)
-        # d like / d (eta - theta_j): upper edge of its own grade +, lower edge -
-        sign = (y[:, None] == np.arange(1, k + 1)).astype(float) - (y[:, None] == np.arange(k))
-        g = -(sign * slope) / like[:, None] / len(y)
-        g_eta = g.sum(axis=1)
-        g_theta = -g.sum(axis=0)
-        grad = np.r_[np.bincount(idx, val * g_eta[of], minlength=cut)[:cut] + ridge * p[:cut], g_theta.sum(), np.cumsum(g_theta[::-1])[::-1][1:] * steps]
+        grad = loss(p, idx, val, start, of, y, k, ridge)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Ordinal(p[:cut], np.r_[p[cut], p[cut] + np.cumsum(np.exp(p[cut + 1 :]))], levels)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Ordinal:
-    """ratings: (doc_id, grade). At most SAMPLE_ROWS rated documents are fitted; rows without grade or id are left out."""
+    """ratings: (doc_id, grade). At most SAMPLE_ROWS rated documents are fitted; rows without grade or id are left out.
+
+    A document that is rated or stands in docs more than once counts each time; without two different grades (an empty table
+    too) every document has the one grade there is. Texts are hashed by the tasks that read them; features alone come to the driver."""
     ids = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).filter("doc_id is not null and grade is not null")
     ids = ids.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "grade")
-    got = [(r.text, r.grade) for r in rows.toLocalIterator()]
-    return fit_rows([t for t, _ in got], [g for _, g in got])
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for pdf in batches:
+            made = [features(t, known) for t in pdf["text"]]
+            yield pd.DataFrame({"grade": pdf["grade"], "index": [i.astype("<u2").tobytes() for i, _ in made], "value": [v.astype("<f4").tobytes() for _, v in made]})
+
+    got = rows.mapInPandas(hashed, "grade int, index binary, value binary").toPandas()
+    return fit_rows([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got["index"], got["value"])], got["grade"].tolist())
 
 
 def scorer(model: Ordinal, spark) -> "callable":
@@ -127,12 +142,12 @@ def scorer(model: Ordinal, spark) -> "callable":
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """Ratings from the labels table: 0 bad, 1 good but toxic, 2 good and clean."""
-    return labels.select("doc_id", F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).otherwise(2).alias("grade"))
+    """Ratings from the labels table: its quality; null is no rating."""
+    return labels.select("doc_id", F.col("quality").alias("grade"))
 
 
 def score_quality(docs: DataFrame, ratings: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_grade, p_tail, kept) of whole texts; null and empty texts are scored by their shape. All rows stay."""
+    """(doc_id, expected_grade, p_tail, kept) of whole texts; null and empty texts are scored by their shape. All rows stay, those of null or repeated ids too."""
     model = fit(docs, ratings, id_col, text_col)
     out = docs.select(F.col(id_col).alias("doc_id"), scorer(model, docs.sparkSession)(F.col(text_col)).alias("r"))
     return out.select("doc_id", "r.expected_grade", "r.p_tail", (F.col("r.p_tail") >= threshold).alias("kept"))

@@ -61,6 +61,51 @@ def test_html_keeps_sibling_containers():
     assert html.main_text(page, None)[0] == "the first and by far the heaviest section of all second"
 
 
+def test_html_template_decides_without_telling_names(spark):
+    """The given pages without article, nav, footer and class names: the template finds what the names would have told."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: r for r in html.extract(pages).collect()}
+    names = {"<nav>": "<div class=k1>", '<div class="ad">': "<div class=k2>", "<article>": "<div class=k3>", "<footer>": "<div class=k4>", "</nav>": "</div>", "</article>": "</div>", "</footer>": "</div>"}
+    bare = lambda page: re.sub("|".join(map(re.escape, names)), lambda m: names[m[0]], page)
+    made = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in pages.collect()], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.extract(made).collect()}
+    with_template = [i for i, r in got.items() if r.template_tokens]
+    assert len(with_template) > 150 and all(got[i].text == want[i].text for i in with_template)
+    alone = {r.page_id: html.main_text(r.html, None)[0] for r in made.collect()}
+    assert sum(alone[i] != got[i].text for i in with_template) > 20  # with the template off the texts are others
+
+
+def test_html_template_text_in_articles_goes_but_copies_stay(spark):
+    share = "<p>Share this story</p>"
+    rows = [(i, "http://a.example/x", f"<body><div class=q>Menu</div><article><h1>Title {i}</h1><p>Body number {i} of some length</p>{share}</article></body>") for i in range(8)]
+    rows += [(20 + i, "http://b.example/x", f"<body><div class=q>Menu {i}</div><article><p>One story that all pages copy</p></article></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Body number {i} of some length" for i in range(8))
+    assert all(got[20 + i] == "One story that all pages copy" for i in range(5))
+    assert html.main_text(rows[0][2], None)[0].endswith("Share this story")
+
+
+def test_html_classes_by_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        items = "".join(f"<li>{rng.choice('abc')}</li>" for _ in range(rng.randint(1, 3)))
+        rows.append((i, f"http://h{i % 3}.example/", f"<body><ul>{items}</ul><div class=x><p>text {i}</p>{'<hr>' * (i % 2)}</div><p>end</p></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
+    for r in html.templates(df).collect():
+        mine = [html.signature(*html.parse(doc)) for i, u, doc in rows if r.host in u]
+        longest = [max((x.text for x in html.parse(doc)[1]), key=len) for i, u, doc in rows if r.host in u]
+        vectors = {}
+        for key in {k for m in mine for k in m}:
+            vectors[key] = tuple(m.count(key) for m in mine)
+        runs = {html.run_key(x) for _, u, doc in rows if r.host in u for x in html.parse(doc)[1]}
+        often = {k: v for k, v in vectors.items() if sum(map(bool, v)) >= max(html.SUPPORT * len(mine), html.LEAST_PAGES * html.SUPPORT)}
+        often = {k: v for k, v in often.items() if k not in runs or len({t for t, n in zip(longest, v) if n}) >= html.LEAST_PAGES}
+        found = {t.token: t.cls for t in r.template if t.kind != html.CONTAINER}
+        assert found.keys() == often.keys()
+        assert len({(found[k], often[k]) for k in found}) == len(set(found.values())) == len(set(often.values()))
+
+
 def test_segments_are_maximal():
     model, rng = toxicity.Toxicity(np.zeros(0, np.int64), np.zeros(0, np.float32)), random.Random(1)
 

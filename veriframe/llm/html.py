@@ -1,16 +1,19 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens of a page are its tags with their place in the tree, its runs of text, and the words of short runs. On
-the pages of a host, tokens that occur equally often on every page share an occurrence vector, and form a
-class. A class is valid on a page where its tokens come in one order; valid classes nest by the
-stretch that they span, and together are the host's template. What lies between template tokens are the
-slots; slots in menus, notices, adverts and the like are left out, and the article's slots are extracted."""
+Tokens of a page are its tags with their place in the tree, and its runs of text. On the pages of a host, tokens that occur
+equally often on every page share an occurrence vector, and form a class. A class is valid on a page where its tokens come in
+one order; valid classes nest by the stretch that they span, and together are the host's template. What
+lies between template tokens are the slots. The slots' text, counted over the host, shows which of the template's
+containers holds its pages' content; the slots in it are extracted. Names of elements and classes only settle which slots in
+and around it are asides, and stand in for a template on hosts of too few pages."""
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from os.path import commonprefix
 
 import pandas as pd
@@ -18,12 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.shared import BROADCAST_ROWS, materialize
+from veriframe.llm.shared import BROADCAST_ROWS, discard, materialize
 
-#: Share of a host's pages that a template token must be on, and pages that a host needs for a template.
+#: Share of a host's pages that a template token must be on, and pages that a host needs for a template; as many different
+#: pages must have a run of text before it is template, so that copies of one page are none.
 SUPPORT, LEAST_PAGES = 0.6, 3
-#: Words of longer runs are data; a longer run counts as one token.
-SHORT_RUN = 12
+#: Share of the text around it that a container of the template must hold to be the content's, and share of links that makes a menu.
+CONTENT, LINKS = 0.5, 0.5
+#: Words from which a run is taken for content where no template tells.
+LONG_RUN = 12
+TAG, RUN, CONTAINER = 0, 1, 2
 
 # Names of elements and of classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,24 +55,43 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str, bool, bool]]]:
-    """(tokens, runs): tokens (path, name) in page order, '' names a run; runs (path, text, dropped, in an article).
+@dataclass
+class Run:
+    """A run of text: the path around it, whether names mark it as an aside or as a head outside an article, whether it is in an article, its share of links."""
+
+    path: str
+    text: str
+    aside: bool
+    head: bool
+    main: bool
+    links: float
+
+
+def parse(page: str | None) -> tuple[list[tuple[str, str]], list[Run]]:
+    """(tokens, runs): tokens (path, name) in page order, '' names a run.
 
     Broken markup is read as browsers do: unclosed elements end with their parent, stray ends are passed over."""
     text, at, tokens, runs = page or "", 0, [], []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, dropped, in an article
+    stack: list[tuple] = [("", "", False, False, False, False)]  # tag, path, aside, head, in an article, in a link
     buffer: list[str] = []
+    linked = 0
 
     def flush() -> None:
-        run = " ".join(html.unescape("".join(buffer)).split())
+        nonlocal linked
+        raw = "".join(buffer)
+        run = " ".join(html.unescape(raw).split())
         buffer.clear()
         if run:
-            _, path, drop, main = stack[-1]
+            _, path, aside, head, main, _ = stack[-1]
             tokens.append((path, ""))
-            runs.append((path, run, drop, main))
+            runs.append(Run(path, run, aside, head, main, linked / len(raw)))
+        linked = 0
 
     while m := TOKEN.search(text, at):
-        buffer.append(text[at : m.start()])
+        if m.start() > at:
+            buffer.append(text[at : m.start()])
+            if stack[-1][5]:
+                linked += m.start() - at
         at = m.end()
         if m["cdata"] is not None:
             buffer.append(html.escape(m["cdata"]))
@@ -92,34 +118,38 @@ def parse(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str,
                 break
             if stack[k][0] not in TEXTUAL or stack[k][0] in ("table", "ul", "ol", "dl"):
                 break
-        _, path, drop, main = stack[-1]
+        _, path, aside, head, main, link = stack[-1]
         names, attrs = "", m["attrs"]
         if attrs:
             for a in ATTR.finditer(attrs):
                 key, value = a[1].lower(), next((x for x in a.groups()[1:] if x is not None), "")
                 if key in ("class", "id"):
-                    names += "." + value.lower()
-                    drop |= tag not in ("html", "body", "article", "main") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+                    names += "." + value.lower().replace("/", "|")
+                    aside |= tag not in ("html", "body", "article", "main") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
                 elif key == "role":
-                    drop |= value.lower() in ROLES
+                    aside |= value.lower() in ROLES
                     main |= value.lower() in ("main", "article")
                 elif key == "style":
-                    drop |= bool(HIDDEN.search(value))
+                    aside |= bool(HIDDEN.search(value))
                 else:
-                    drop |= value.lower() != "false"
-        drop |= tag in DROPPED or tag == "header" and not main
+                    aside |= value.lower() != "false"
+        aside |= tag in DROPPED
+        head |= tag == "header" and not main
         main |= tag in MAIN
+        link |= tag == "a"
         if tag not in TEXTUAL:
             path = f"{path}/{tag}{names}"
-        if tag in INLINE and drop and not stack[-1][2]:
+        if tag in INLINE and aside and not stack[-1][2]:
             flush()
         tokens.append((path, tag))
         if tag in RAW_END:
             end = RAW_END[tag].search(text, at)
             at = end.end() if end else len(text)
         elif tag not in VOID and not attrs.endswith("/"):
-            stack.append((tag, path, drop, main))
-    buffer.append(text[at:])
+            stack.append((tag, path, aside, head, main, link))
+    if at < len(text):
+        buffer.append(text[at:])
+        linked += stack[-1][5] * (len(text) - at)
     flush()
     return tokens, runs
 
@@ -128,129 +158,190 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def signature(tokens: list[tuple[str, str]], runs: list[tuple[str, str, bool, bool]]) -> list[int]:
-    """Keys of all tokens in page order: tags, runs, and the words of short runs."""
-    out, k = [], 0
-    for path, name in tokens:
-        if name:
-            out.append(_key(path, name))
-        else:
-            run = runs[k][1]
-            k += 1
-            out.append(_key(path, "", run))
-            words = run.split(" ", SHORT_RUN + 1)
-            if len(words) <= SHORT_RUN:
-                out += [_key(path, "", "", w) for w in words]
-    return out
+@functools.lru_cache(200_000)
+def tag_key(path: str, name: str) -> int:
+    return _key(path, name)
+
+
+def run_key(run: Run) -> int:
+    return _key(run.path, "", run.text)
+
+
+@functools.lru_cache(100_000)
+def around(path: str) -> tuple[str, ...]:
+    """path and all paths around it, the outermost first."""
+    parts = path.split("/")
+    return tuple("/".join(parts[: k + 1]) for k in range(len(parts)))
+
+
+def signature(tokens: list[tuple[str, str]], runs: list[Run]) -> list[int]:
+    """Keys of all tokens in page order."""
+    left = iter(runs)
+    return [tag_key(path, name) if name else run_key(next(left)) for path, name in tokens]
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages: (page_id, host, html). (host, tokens): the tokens on SUPPORT of a host's pages, with class and mean place.
+    """pages: (page_id, host, html). (host, template): the tokens and containers on SUPPORT of a host's pages.
 
     A token's occurrence vector is known by the sum of a hash of page and count, which tasks add up before the shuffle, so
-    a host of any size needs no task of its own. Tokens of one vector are one class."""
+    a host of any size needs no task of its own. Tokens of one vector are one class. For a run of text, the pages are also
+    marked by their longest run, as the different ones among them count."""
+    columns = ["pages", "vector", "occurs", "place", "chars", "links"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[tuple[str, int], list[int]] = {}
+            seen: dict[tuple, list] = {}
+
+            def add(h: str, kind: int, key: int, name: str, mark: int, *more: int) -> None:
+                s = seen.setdefault((h, kind, key), [name, 0, *[0] * len(columns)])
+                s[1] |= mark
+                for k, x in enumerate(more, 2):
+                    s[k] += x
+
             for page, h, doc in zip(pdf["page_id"], pdf["host"], pdf["html"]):
-                count: dict[int, list[int]] = {}
-                for k, key in enumerate(signature(*parse(doc))):
-                    c = count.setdefault(key, [0, k])
+                tokens, runs = parse(doc)
+                longest = max((r.text for r in runs if not r.aside), key=len, default="")
+                mark = 1 << xxhash.xxh32_intdigest(longest) % 63
+                count: dict[tuple, list[int]] = {}
+                left = iter(runs)
+                for k, (path, name) in enumerate(tokens):
+                    r = None if name else next(left)
+                    c = count.setdefault((TAG, tag_key(path, name), "") if name else (RUN, run_key(r), path), [0, k, 0 if name or r.aside else len(r.text)])
                     c[0] += 1
-                for key, (n, k) in count.items():
-                    s = seen.setdefault((h, key), [0, 0, 0, 0])
-                    s[0] += 1
-                    s[1] += xxhash.xxh32_intdigest(f"{page}:{n}")
-                    s[2] += n
-                    s[3] += k
-                s = seen.setdefault((h, 0), [0, 0, 0, 0])
-                s[0] += 1
-            yield pd.DataFrame([(h, key, *s) for (h, key), s in seen.items()], columns=["host", "token", "pages", "vector", "occurs", "place"])
-
-    tokens = pages.mapInPandas(run, "host string, token long, pages long, vector long, occurs long, place long")
-    tokens = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "occurs", "place")])
+                for (kind, key, path), (n, k, chars) in count.items():
+                    add(h, kind, key, path, mark, 1, xxhash.xxh32_intdigest(f"{page}:{n}"), n, k, n * chars, 0)
+                mass: dict[str, list[float]] = {}
+                for r in runs:
+                    for path in around(r.path):
+                        m = mass.setdefault(path, [0, 0.0])
+                        m[0] += 0 if r.aside else len(r.text)
+                        m[1] += 0 if r.aside else r.links * len(r.text)
+                for path, (chars, links) in mass.items():
+                    add(h, CONTAINER, tag_key(path, ""), path, mark, 1, 0, 0, 0, chars, round(links))
+                add(h, TAG, 0, "", mark, 1, 0, 0, 0, 0, 0)
+            yield pd.DataFrame([(*k, *s) for k, s in seen.items()], columns=["host", "kind", "token", "name", "marks", *columns])
+
+    tokens = pages.mapInPandas(run, "host string, kind int, token long, name string, marks long, " + ", ".join(f"{c} long" for c in columns))
+    tokens = tokens.groupBy("host", "kind", "token").agg(F.min("name").alias("name"), F.bit_or("marks").alias("marks"), *[F.sum(c).alias(c) for c in columns])
     tokens = materialize(tokens.filter(f"pages >= {LEAST_PAGES} * {SUPPORT}"))
-    size = tokens.filter("token = 0").selectExpr("host", "pages host_pages")
-    often = tokens.filter("token <> 0").join(size.hint("merge"), "host").filter(f"host_pages >= {LEAST_PAGES} and pages >= {SUPPORT} * host_pages")
-    token = F.struct("token", F.xxhash64("vector", "pages", "occurs").alias("cls"), (F.col("place") / F.col("pages")).alias("place"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template"))
+    size = materialize(tokens.filter("token = 0").selectExpr("host", "pages host_pages"))
+    often = tokens.filter("token <> 0").join(size.hint("merge"), "host").filter(f"host_pages >= {LEAST_PAGES} and pages >= {SUPPORT} * host_pages and (kind <> {RUN} or bit_count(marks) >= {LEAST_PAGES})")
+    token = F.struct("kind", "token", F.xxhash64("vector", "pages", "occurs").alias("cls"), (F.col("place") / F.col("pages")).alias("place"), "name", "chars", "links")
+    often = materialize(often.select("host", token.alias("t")))  # what is left of a host is bounded by its pages' length
+    found = materialize(often.groupBy("host").agg(F.sort_array(F.collect_list("t")).alias("template")))
+    discard(tokens, size, often)
+    return found
 
 
-def nest(template: list[tuple[int, int, float]]) -> dict[int, tuple[int, int]]:
+def nest(template: list) -> dict[int, tuple[int, int]]:
     """token -> (class, depth): classes of two tokens or more, nested by the stretch from their first to their last token."""
     classes: dict[int, list[tuple[float, int]]] = {}
-    for token, cls, place in template:
-        classes.setdefault(cls, []).append((place, token))
+    for t in template:
+        if t["kind"] != CONTAINER:
+            classes.setdefault(t["cls"], []).append((t["place"], t["token"]))
     spans = sorted((min(ts)[0], -max(ts)[0], cls) for cls, ts in classes.items() if len(ts) > 1)
-    out, around = {}, []
+    out, outer = {}, []
     for lo, hi, cls in spans:
-        while around and -around[-1] < -hi:
-            around.pop()
-        out.update({t: (cls, len(around)) for _, t in classes[cls]})
-        around.append(hi)
+        while outer and -outer[-1] < -hi:
+            outer.pop()
+        out.update({t: (cls, len(outer)) for _, t in classes[cls]})
+        outer.append(hi)
     return out
 
 
-def main_text(page: str | None, template: list[tuple[int, int, float]] | None) -> tuple[str, int]:
-    """(text, number of template tokens used). The slots of a page's article; without one, those in the smallest common
-    ancestor of the path with most text, its likes without class and id, and all paths with long runs."""
+class Template:
+    """A host's template, made ready for its pages."""
+
+    def __init__(self, template: list):
+        self.nested = nest(template)
+        self.places = {t["token"]: t["place"] for t in template if t["kind"] != CONTAINER}
+        self.texts = {t["token"] for t in template if t["kind"] == RUN}
+        self.mass = {t["name"]: [t["chars"], t["links"]] for t in template if t["kind"] == CONTAINER}
+        for t in template:
+            if t["kind"] == RUN:  # template text is no slot
+                for path in around(t["name"]):
+                    if path in self.mass:
+                        self.mass[path][0] -= t["chars"]
+        self.content = self._content()
+        self.menus = {p for p, (chars, links) in self.mass.items() if p.startswith(self.content + "/") and links > LINKS * max(chars, 1)}
+
+    def _content(self) -> str:
+        """The innermost container between template tokens that holds CONTENT of the slots' text, other than links, of the one around it."""
+        held = {p: chars - links for p, (chars, links) in self.mass.items() if p and tag_key(p, p.rsplit("/", 1)[1].split(".")[0]) in self.nested}
+        now, text = "", max([self.mass.get("", [0, 0])[0] - self.mass.get("", [0, 0])[1], 0])
+        while inside := [p for p in held if p.startswith(now + "/")]:
+            best = max(inside, key=lambda p: (held[p], -len(p), p))
+            if held[best] <= 0 or held[best] < CONTENT * text:
+                break
+            now, text = best, held[best]
+        return now
+
+    def valid(self, keys: list[int]) -> set[int]:
+        """Tokens of the classes that are valid on a page: where a class's tokens occur once, they come in the template's order."""
+        order: dict[int, list[float]] = {}
+        for key in keys:
+            if key in self.nested:
+                order.setdefault(self.nested[key][0], []).append(self.places[key])
+        good = {c for c, ps in order.items() if len(set(ps)) < len(ps) or all(a <= b for a, b in zip(ps, ps[1:]))}
+        return {t for t, (c, _) in self.nested.items() if c in good}
+
+
+def main_text(page: str | None, template: Template | None) -> tuple[str, int]:
+    """(text, number of template tokens used): the slots of the page in its template's content container.
+
+    Without template, or where the page has not that container, the runs of its article; without one, those in the smallest
+    common ancestor of the path with most text, its likes without class and id, and all paths with long runs."""
     tokens, runs = parse(page)
-    nested = nest(template) if template else {}
-    order: dict[int, list[float]] = {}
-    places = {t: p for t, _, p in template or ()}
-    keys = signature(tokens, runs)
-    for key in keys:
-        if key in nested:
-            order.setdefault(nested[key][0], []).append(places[key])
-    once = {c: len(set(ps)) == len(ps) for c, ps in order.items()}
-    # a class whose tokens occur once must come in the template's order here; else it is not valid on this page
-    valid = {c for c, ps in order.items() if not once[c] or all(a <= b for a, b in zip(ps, ps[1:]))}
-    fixed = {t for t, (c, _) in nested.items() if c in valid}
-    slots = []
-    for path, run, drop, main in runs:
-        known = _key(path, "", run) in fixed
-        if not known and not main:
-            words = run.split(" ", SHORT_RUN + 1)
-            known = len(words) <= SHORT_RUN and all(_key(path, "", "", w) in fixed for w in words)
-        slots.append((path, run, drop or known and not main, main))
-    if all(s[2] for s in slots):  # copies of one page: a template that holds every run is no template
+    used = 0
+    slots = runs
+    if template:
+        keys = signature(tokens, runs)
+        fixed = template.valid(keys)
+        used = sum(k in fixed for k in keys)
+        slots = [r for r in runs if run_key(r) not in template.texts] if template.texts else runs
+        home = template.content
+        start = tag_key(home, home.rsplit("/", 1)[-1].split(".")[0]) if home else None
+        if start in fixed and start in keys:
+            inside = [r for r in slots if not r.aside and (r.path == home or r.path.startswith(home + "/"))]
+            return " ".join(r.text for r in inside if template.menus.isdisjoint(around(r.path))), used
+    plain = [r for r in slots if not r.aside and not r.head]
+    if not plain and slots is not runs:
         slots = runs
-    kept = [s for s in slots if s[3] and not s[2]]
-    if not kept and not any(s[3] for s in slots):
+        plain = [r for r in slots if not r.aside and not r.head]
+    kept = [r for r in plain if r.main]
+    if not kept and not any(r.main for r in slots):
         mass: dict[str, int] = {}
-        for path, run, drop, _ in slots:
-            if not drop:
-                mass[path] = mass.get(path, 0) + len(run)
+        for r in plain:
+            mass[r.path] = mass.get(r.path, 0) + len(r.text)
         if mass:
             best = max(mass, key=lambda p: (mass[p], p))
-            plain = lambda p: re.sub(r"\.[^/]*", "", p)
-            long = {s[0] for s in slots if not s[2] and s[1].count(" ") >= SHORT_RUN}
-            around = commonprefix([p.split("/") for p in mass if p == best or p in long or plain(p) == plain(best)])
-            kept = [s for s in slots if not s[2] and s[0].split("/")[: len(around)] == around]
-    return " ".join(s[1] for s in kept), sum(k in fixed for k in keys)
+            bare = lambda p: re.sub(r"\.[^/]*", "", p)
+            long = {r.path for r in plain if r.text.count(" ") >= LONG_RUN}
+            home = commonprefix([p.split("/") for p in mass if p == best or p in long or bare(p) == bare(best)])
+            kept = [r for r in plain if r.path.split("/")[: len(home)] == home]
+    return " ".join(r.text for r in kept), used
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, template_tokens): the main text of every page, from the whole html; null or empty html gives ''.
 
     Repeated rows and null ids or urls keep their rows (null and odd urls have no host and no template). A page of a host with fewer than
-    LEAST_PAGES pages has its own tags alone to go by. White space inside a block is one space, blocks are joined by one."""
+    LEAST_PAGES pages has its own tags alone to go by. Very long pages are read whole, columns of other names are passed over. White space inside a block is one space, blocks are joined by one."""
     kind = pages.schema[id_col].dataType.simpleString()
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     src = src.withColumn("host", name)
-    found = materialize(templates(src.filter("host <> ''")))
+    found = templates(src.filter("host <> ''"))
     size = found.agg(F.sum(F.size("template"))).first()[0] or 0
     joined = src.join(F.broadcast(found) if 2 * size <= BROADCAST_ROWS else found.hint("merge"), "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made: dict[str, list | None] = {}
+            made: dict[str, Template | None] = {}
             out = []
             for h, doc, t in zip(pdf["host"], pdf["html"], pdf["template"]):
                 if h not in made:
-                    made[h] = [(x["token"], x["cls"], x["place"]) for x in t] if t is not None else None
+                    made[h] = Template(list(t)) if t is not None else None
                 out.append(main_text(doc, made[h]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [t for t, _ in out], "n_chars": [len(t) for t, _ in out], "template_tokens": [n for _, n in out]})
 

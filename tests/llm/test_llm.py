@@ -321,6 +321,27 @@ def test_embeddings_by_brute_force(spark, monkeypatch):
     assert rabitq.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors_count_once(spark):
+    a, b, c = [1.0, 0.0], [1.0, 0.05], [0.0, 1.0]
+    df = spark.createDataFrame([(1, a, 0), (1, a, 0), (2, b, 0), (3, a, 0), (4, c, 0), (5, a, 1), (6, [2.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rabitq.near_embeddings(df).collect())
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 3, 1, False)]
+
+
+def test_recall_of_planted_pairs_in_large_groups(spark):
+    """Groups far larger than BUCKET, pairs just at the threshold: links found against brute force."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3000, 32))
+    near = base + rng.standard_normal(base.shape) * rng.uniform(0.1, 0.2, (3000, 1))
+    v = np.concatenate([base, near])
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum() - len(u)
+    found = sum(r.n_links for r in rabitq.near_embeddings(df).collect())
+    assert len(v) > 16 * rabitq.BUCKET and want > 2000 and 0.985 * want <= found <= want, (found, want)
+    print("recall", found, want)
+
+
 def test_simhash_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
     rng = random.Random(7)

@@ -122,8 +122,9 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
             made = [features(t, known) for t in pdf["text"]]
             yield pd.DataFrame({"grade": pdf["grade"], "index": [i.astype("<u2").tobytes() for i, _ in made], "value": [v.astype("<f4").tobytes() for _, v in made]})
 
-    got = rows.mapInPandas(hashed, "grade int, index binary, value binary").toPandas()
-    return fit_rows([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got["index"], got["value"])], got["grade"].tolist())
+    got = rows.mapInPandas(hashed, "grade int, index binary, value binary").toArrow()
+    index, value = ([np.frombuffer(x, kind) for x in got[c].to_pylist()] for c, kind in (("index", "<u2"), ("value", "<f4")))
+    return fit_rows([(i.astype(np.int32), v) for i, v in zip(index, value)], got["grade"].to_pylist())
 
 
 def scorer(model: Ordinal, spark) -> "callable":

@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         seen[kind, int(v)] = seen.get((kind, int(v)), 0) + int(c)
         yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["kind", "step", "n"])
 
-    counts = rows.filter("toxic = 0").mapInPandas(chance, "kind string, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).toPandas()  # one row per step
+    counts = rows.filter("toxic = 0").mapInPandas(chance, "kind string, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # one row per step
     lam, k = _law(*[(p["step"].to_numpy() * STEP, p["n"].to_numpy(float)) for p in (counts[counts["kind"] == x] for x in ("token", "segment"))])
     for m in models:
         m.lam, m.k = lam, k
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame(f, columns=names).assign(toxic=pdf["toxic"].to_numpy())
 
     names = ["first", "second", "total", "often"]
-    got = rows.mapInPandas(features, "first double, second double, total double, often double, toxic int").toPandas()  # at most SAMPLE_ROWS
+    got = rows.mapInPandas(features, "first double, second double, total double, often double, toxic int").toArrow().to_pandas()  # at most SAMPLE_ROWS
     model = models[2]
     model.curve = tuple(float(v) for v in _logistic(np.c_[np.ones(len(got)), got[names]], got["toxic"].to_numpy(float)))
     return model
@@ -208,8 +208,10 @@ def _weights(rows: DataFrame, n: dict[tuple[int, int], int]) -> list[Toxicity]:
     words = counts.filter("prefix is not null").join(prefixes.hint("merge"), "prefix", "left")
     words = words.select("token", *[odds(h, 1 / (1 + F.exp(-clipped(h))), PSEUDO).cast("float").alias(f"w{h}") for h in size])
     table = words.unionByName(prefixes.select(F.col("prefix").alias("token"), *[F.col(f"w{h}").cast("float").alias(f"w{h}") for h in size]))
-    got = table.toPandas().sort_values("token")  # bounded by the tokens of SAMPLE_ROWS texts
-    return [Toxicity(got["token"].to_numpy(np.int64), got[f"w{h}"].to_numpy(np.float32)) for h in (0, 1, 2)]
+    got = materialize(table).toArrow()  # numbers alone, bounded by the tokens of SAMPLE_ROWS texts
+    order = np.argsort(got["token"].to_numpy())
+    keys = got["token"].to_numpy()[order]
+    return [Toxicity(keys, got[f"w{h}"].to_numpy()[order]) for h in (0, 1, 2)]
 
 
 def _law(token: tuple[np.ndarray, np.ndarray], segment: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:

@@ -1,7 +1,9 @@
-"""Text functions on columns. All but `normalize` stay in the JVM."""
+"""Text functions on columns. All but `decompose` stay in the JVM."""
 
 from __future__ import annotations
 
+import functools
+import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -44,9 +46,28 @@ def decompose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t if t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
 
 
+@functools.cache
+def _plain_letters() -> tuple[str, str, str]:
+    """By the rule of compatibility decomposition without combining marks: characters that become one other, what they become, and a JSON map of those that become several."""
+    one, several = {}, {}
+    for k in [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2190), *range(0x2460, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        x = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(c))
+        if x and x != chr(k):
+            (one if len(x) == 1 else several)[chr(k)] = x
+    return "".join(one), "".join(one.values()), json.dumps(several)
+
+
+def unaccent(c: Column) -> Column:
+    """Compatibility forms and letters with marks as plain ones (Latin, Greek, Cyrillic, signs and wide forms); other scripts stay as they are. No Python."""
+    of, to, several = _plain_letters()
+    table = F.from_json(F.lit(several), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(F.translate(c, of, to), ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(spelled, r"\p{Mn}+", "")).otherwise(c)
+
+
 def normalize(c: Column) -> Column:
-    """Decomposed, lower case, punctuation to spaces, white space folded."""
-    return _fold(decompose(c))
+    """Decomposed, without marks, lower case, punctuation to spaces, white space folded."""
+    return _fold(unaccent(c))
 
 
 def normalize_ascii(c: Column) -> Column:
@@ -54,17 +75,17 @@ def normalize_ascii(c: Column) -> Column:
     return _fold(c)
 
 
-def equivalent(a: Column, b: Column, norm=normalize_ascii) -> Column:
+def equivalent(a: Column, b: Column, norm=normalize) -> Column:
     """Equal when normalised and written without spaces; blank never equals anything."""
     x, y = F.replace(norm(a), F.lit(" ")), F.replace(norm(b), F.lit(" "))
     return F.coalesce((x == y) & (x != ""), F.lit(False))
 
 
-def equivalent_not_identical(a: Column, b: Column, norm=normalize_ascii) -> Column:
+def equivalent_not_identical(a: Column, b: Column, norm=normalize) -> Column:
     return equivalent(a, b, norm) & (a != b)
 
 
-def near_equivalent(a: Column, b: Column, norm=normalize_ascii) -> Column:
+def near_equivalent(a: Column, b: Column, norm=normalize) -> Column:
     """As many tokens, six letters or more each side, and at most max(1, ceil(0.12 * letters)) edits."""
     x, y = norm(a), norm(b)
     p, q = F.replace(x, F.lit(" ")), F.replace(y, F.lit(" "))
@@ -107,9 +128,13 @@ def join_hyphens(c: Column) -> Column:
     return F.regexp_replace(c, r"-\s+", "")
 
 
+#: Words of volume units, as a pattern.
+UNIT_WORDS = r"(?:mls?|milliliters?|millilitres?|cl|centiliters?|l|liters?|litres?|fl\.?\s*oz\.?|fluid\s+ounces?|ounces?|oz\.?|floz|pts?\.?|pints?|qts?\.?|quarts?|gals?\.?|gallons?)"
+
+
 def repair_decimal(c: Column) -> Column:
-    """A decimal point that reading lost: 15 5 GALLONS is 15.5 GALLONS."""
-    return F.regexp_replace(c, r"(?i)\b(\d+) (\d) (?=gallons?\b|liters?\b|litres?\b)", r"$1.$2 ")
+    """A decimal point that reading lost before a unit: 15 5 GALLONS is 15.5 GALLONS."""
+    return F.regexp_replace(c, rf"(?i)\b(\d{{1,3}})\s+(\d)\s+(?={UNIT_WORDS}\b)", r"$1.$2 ")
 
 
 def collapse_spaced_words(c: Column) -> Column:
@@ -142,6 +167,16 @@ def search_terms(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(c, F.lower(c), F.upper(c), F.regexp_replace(c, r"\s+", "")), lambda x: x.isNotNull() & (x != "")))
 
 
+#: Ways in which a percentage of alcohol is written behind its number.
+ABV_SUFFIXES = ("%", "% ABV", "% ALC/VOL", "% ALC. BY VOL.", "% BY VOL", "% ALCOHOL BY VOLUME")
+
+
+def abv_terms(percent: Column) -> Column:
+    """Spellings of a percentage of alcohol: its number without needless zeros before each suffix; empty for null."""
+    n = trim_decimal(percent)
+    return F.coalesce(F.when(n.isNotNull(), F.transform(F.array(*map(F.lit, ABV_SUFFIXES)), lambda x: F.concat(n, x))), F.array().cast("array<string>"))
+
+
 def tri_bool(c: Column) -> Column:
     """Null when blank or unknown."""
     x = F.lower(strip(c))

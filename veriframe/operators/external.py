@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions import parsers as P
-from veriframe.functions.text import equivalent, normalize_ascii, presence, strip
+from veriframe.functions.text import equivalent, normalize, presence, strip
 from veriframe.operators.grounding import THRESHOLD, best_window
 from veriframe.operators.joins import token_overlap
 from veriframe.operators.latest import severity
@@ -30,7 +30,7 @@ ALCOHOL = "alcohol_statement"
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(normalize_ascii(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
+    return F.filter(F.split(normalize(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
 
 
 def _alcohol_fits(text: Column, value: Column) -> Column:
@@ -108,8 +108,8 @@ def overlay(slots: DataFrame, findings: DataFrame, keys: Sequence[str]) -> DataF
     best = j.groupBy(*keys, "slot").agg(F.max_by(F.struct("text", "page", "bbox", "_f"), F.struct(severity(F.col("_f.verdict")), -F.col("_i"))).alias("_b"), F.count("*").alias("n_checks"))
     names = F.create_map(*[F.lit(x) for slot, checks in SLOT_CHECKS.items() for x in (slot, checks[0])])
     rows = best.select(*keys, "slot", F.try_element_at(names, F.col("slot")).alias("field"), "_b.page", "_b.bbox", "_b._f", F.coalesce("_b._f.extracted", "_b.text").alias("extracted"), "n_checks")
-    d = s.filter(F.startswith("field", F.lit("disclosure:"))).groupBy(*keys, F.replace(normalize_ascii(F.col("text")), F.lit(" ")).alias("_n")).agg(F.min_by(F.struct("field", "text", "page", "bbox"), F.col("field")).alias("_s"))
-    g = f.filter(F.startswith("_field", F.lit("contains_")) | F.startswith("_field", F.lit("disclosure_"))).withColumn("_n", F.replace(normalize_ascii(F.col("_f.extracted")), F.lit(" "))).filter("_n <> ''")
+    d = s.filter(F.startswith("field", F.lit("disclosure:"))).groupBy(*keys, F.replace(normalize(F.col("text")), F.lit(" ")).alias("_n")).agg(F.min_by(F.struct("field", "text", "page", "bbox"), F.col("field")).alias("_s"))
+    g = f.filter(F.startswith("_field", F.lit("contains_")) | F.startswith("_field", F.lit("disclosure_"))).withColumn("_n", F.replace(normalize(F.col("_f.extracted")), F.lit(" "))).filter("_n <> ''")
     said = d.join(g, [*keys, "_n"]).groupBy(*keys, "_n").agg(F.min_by(F.struct("_s", "_f"), F.col("_field")).alias("_b"))
     more = said.select(*keys, F.col("_b._s.field").alias("slot"), F.col("_b._f.field").alias("field"), F.col("_b._s.page").alias("page"), F.col("_b._s.bbox").alias("bbox"), F.col("_b._f").alias("_f"), F.col("_b._s.text").alias("extracted"), F.lit(1).cast("long").alias("n_checks"))
     both = rows.unionByName(more)

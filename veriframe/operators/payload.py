@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions import parsers as P
-from veriframe.functions.text import equivalent, match_norm, normalize_ascii, presence, strip
+from veriframe.functions.text import equivalent, match_norm, normalize, presence, strip
 from veriframe.operators.grounding import THRESHOLD, best_window
 from veriframe.operators.slots import locate_declared, reconcile_declared, union_of, warning_slot
 from veriframe.plans import catalogue as K
@@ -76,16 +76,16 @@ def net_contents_slot(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def commodity_slot(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return first_statement(pages, keys, COMMODITY_WORDS, lambda t, _: reduce(lambda a, b: a | b, [F.contains(normalize_ascii(t), F.lit(p)) for p in COMMODITY_PHRASES]))
+    return first_statement(pages, keys, COMMODITY_WORDS, lambda t, _: reduce(lambda a, b: a | b, [F.contains(normalize(t), F.lit(p)) for p in COMMODITY_PHRASES]))
 
 
 def disclosure_slots(pages: DataFrame, keys: Sequence[str], commodity: str = "beverage_type") -> DataFrame:
     """(keys, key, text, page, bbox): the first window with a keyword, per disclosure of the commodity (a column of pages); of equal texts the first key's."""
     sets = F.create_map(*[x for of, names in DISCLOSURES_OF.items() for x in (F.lit(of), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("key"), F.array(*map(F.lit, DISCLOSURE_WORDS_OF[n])).alias("words")) for i, n in enumerate(names)]))])
     p = pages.withColumn("_d", F.explode(F.try_element_at(sets, F.col(commodity)))).withColumns({"_i": F.col("_d.i"), "key": F.col("_d.key"), "_kw": F.col("_d.words")})
-    found = first_statement(p, [*keys, "_i", "key"], DISCLOSURE_WORDS, lambda t, _: F.exists("_kw", lambda k: F.contains(normalize_ascii(t), k)))
+    found = first_statement(p, [*keys, "_i", "key"], DISCLOSURE_WORDS, lambda t, _: F.exists("_kw", lambda k: F.contains(normalize(t), k)))
     rest = F.struct("key", *LOCATED)
-    once = found.groupBy(*keys, normalize_ascii(F.col("text")).alias("_n")).agg(F.min_by(rest, F.col("_i")).alias("_s"))
+    once = found.groupBy(*keys, normalize(F.col("text")).alias("_n")).agg(F.min_by(rest, F.col("_i")).alias("_s"))
     return once.select(*keys, "_s.*")
 
 
@@ -96,7 +96,7 @@ def varietal_slots(declared: DataFrame, pages: DataFrame, keys: Sequence[str], e
     if existing is not None:
         found = existing.select(*keys, "pos", *LOCATED, F.lit(0).alias("_old")).unionByName(found)
     rest = F.struct("_old", "pos", *LOCATED)
-    once = found.filter(presence(F.col("text")).isNotNull()).groupBy(*keys, normalize_ascii(F.col("text")).alias("_n")).agg(F.min_by(rest, F.struct("_old", "pos")).alias("_s")).filter("_n <> ''")
+    once = found.filter(presence(F.col("text")).isNotNull()).groupBy(*keys, normalize(F.col("text")).alias("_n")).agg(F.min_by(rest, F.struct("_old", "pos")).alias("_s")).filter("_n <> ''")
     order = F.row_number().over(_by(keys).orderBy("_s._old", "_s.pos")) - 1
     return once.select(*keys, order.alias("pos"), *[f"_s.{n}" for n in LOCATED])
 
@@ -176,7 +176,7 @@ def locate_class(slots: DataFrame, declared: DataFrame, pages: DataFrame, keys:
 
 def _ends_in_state(text: Column) -> Column:
     names = [n for pair in P.STATES.items() for n in (pair[0].lower(), pair[1])]
-    return normalize_ascii(F.regexp_replace(text, r"\s*\d{5}(-\d{4})?\s*$", "")).rlike(r"(^|\s)(" + "|".join(names) + ")$")
+    return normalize(F.regexp_replace(text, r"\s*\d{5}(-\d{4})?\s*$", "")).rlike(r"(^|\s)(" + "|".join(names) + ")$")
 
 
 def _lines_from(words: Column, at: Column) -> Column:
@@ -195,8 +195,8 @@ def _lines_from(words: Column, at: Column) -> Column:
 def trim_address(text: Column, city: Column, state: Column) -> Column:
     """text up to the end of the first city and state (abbreviated or in full) that follow each other; the whole text without them."""
     tokens = F.split(strip(text), r"\s+")
-    plain = F.transform(tokens, normalize_ascii)
-    of = F.filter(F.split(normalize_ascii(F.coalesce(city, F.lit(""))), " "), lambda x: x != "")
+    plain = F.transform(tokens, normalize)
+    of = F.filter(F.split(normalize(F.coalesce(city, F.lit(""))), " "), lambda x: x != "")
     names = F.create_map(*[F.lit(x) for pair in P.STATES.items() for x in pair])
     forms = F.filter(F.array(F.lower(state), F.try_element_at(names, F.upper(state))), lambda x: x.isNotNull())
     goals = F.transform(forms, lambda f: F.concat(of, F.split(f, " ")))
@@ -211,7 +211,7 @@ def locate_address(slots: DataFrame, declared: DataFrame, pages: DataFrame, keys
     own = slots.filter("field = 'name_address_statement'").select(*keys, F.struct(*LOCATED).alias("_own"))
     d = declared.select(*keys, F.col(column).alias("_want")).join(own, list(keys), "full").withColumn("_part", P.parse_name_address(F.col("_want")))
     d = d.withColumn("_name", F.array_join(P.name_tokens(F.col("_part.name")), " "))
-    said = F.concat(F.lit(" "), normalize_ascii(F.col("_own.text")), F.lit(" "))
+    said = F.concat(F.lit(" "), normalize(F.col("_own.text")), F.lit(" "))
     named = F.forall(F.filter(F.split("_name", " "), lambda x: F.length(x) >= 3), lambda x: F.contains(said, F.concat(F.lit(" "), x, F.lit(" "))))
     d = d.withColumn("_trust", F.coalesce((presence(F.col("_own.text")).isNotNull()) & (presence(F.col("_want")).isNull() | named), F.lit(False)))
     kept = d.filter("_trust").select(*keys, "_part", "_own.*")

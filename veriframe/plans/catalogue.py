@@ -121,7 +121,7 @@ def entries_of(dim: DataFrame, most: int = MOST_ENTRIES) -> list[dict]:
 
 
 def folded(c: Column) -> Column:
-    return X.fold_whisky(X.normalize_ascii(c))
+    return X.fold_whisky(X.normalize(c))
 
 
 def _literal(entries: Sequence[dict], commodity: str) -> Column:

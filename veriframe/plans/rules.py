@@ -47,7 +47,7 @@ STATEMENT_GROUPS = {"group_1": ("neutral spirits", "vodka", "grain spirits", "bl
 DISCLOSURES = {"contains_sulfites_10ppm": ("sulfites", "sulfiting agent"), "contains_fd_c_yellow_5": ("fd c yellow 5",), "contains_aspartame": ("phenylketonurics contains phenylalanine",), "contains_saccharin": ("contains saccharin",)}
 
 c = F.col
-norm = X.normalize_ascii
+norm = X.normalize
 
 
 def finding(field: str, verdict, expected=None, extracted=None, note: str | None = None) -> Column:

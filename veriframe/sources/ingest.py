@@ -105,3 +105,91 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 def append_history(df: DataFrame, path: str, day_col: str) -> None:
     df.write.mode("append").partitionBy(day_col).parquet(path)
+
+
+#: Columns of the declared table and of the sample export, and the truth of its classes.
+REQUIRED = ("serial_number", "beverage_type", "brand_name", "applicant_name_address", "net_contents", "image_filename")
+SAMPLE_REQUIRED = ("filename", "brand_name", "class_type", "bottler_address")
+SAMPLE_CLASSES = (
+    (r"\b(MALT|BEER|ALE|LAGER|PORTER|STOUT|IPA)\b", "malt"),
+    (r"\b(WINE|SAKE|MEAD|CHAMPAGNE|SHERRY|PORT)\b", "wine"),
+    (r"\b(VODKA|WHISKEY|WHISKY|BOURBON|RUM|GIN|TEQUILA|CURACAO|COCKTAILS?|LIQUEURS?|CORDIALS?|BRANDY|DISTILLED|SPIRITS?)\b|PROPRIETAR", "spirits"),
+)
+NET_CONTENTS_SENTINEL = "Not stated on application"
+FLAG_COLUMNS = ("contains_fd_c_yellow_5", "contains_cochineal_carmine", "contains_sulfites_10ppm", "contains_saccharin", "contains_aspartame", "contains_added_coloring")
+
+
+def detect_layout(columns: Sequence[str]) -> str:
+    """sample (an export with file names and at least one more of its columns) or generic; of the header alone."""
+    names = {c.strip().lower() for c in columns}
+    return "sample" if "filename" in names and len(names & set(SAMPLE_REQUIRED)) >= 2 else "generic"
+
+
+def csv_file_errors(rows: DataFrame, file_col: str = "file", corrupt_col: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
+    """(rows of the sound files, one error for each file with a row that could not be read): a malformed file gives no rows at all."""
+    bad = rows.groupBy(file_col).agg(F.count(corrupt_col).alias("_n")).filter("_n > 0").select(file_col)
+    errors = bad.select(file_col, F.lit("malformed_csv").alias("kind"), F.lit("The file could not be read as CSV").alias("message"))
+    return rows.join(bad, file_col, "left_anti").drop(corrupt_col), errors
+
+
+def row_numbers(rows: DataFrame, file_col: str, order: str) -> DataFrame:
+    """rows with row_number as a spreadsheet shows it: the first row below the header is 2. order: the place within the file."""
+    from pyspark.sql import Window as W
+
+    return rows.withColumn("row_number", F.row_number().over(W.partitionBy(file_col).orderBy(order)) + 1)
+
+
+def err_image_pair(front: str = "image_filename", back: str = "back_image_filename") -> Column:
+    f, b = presence(F.col(front)), presence(F.col(back))
+    return F.coalesce(error(f == b, "invalid_value", f"{back} must be different from {front}"), error(b.isNotNull() & f.rlike(r"(?i)\.pdf$"), "invalid_value", f"{back} cannot accompany PDF artwork"))
+
+
+def sample_commodity(c: Column) -> Column:
+    """malt, wine or spirits of a sample's class, by the first pattern; null if none."""
+    out = F.lit(None).cast("string")
+    for pattern, kind in reversed(SAMPLE_CLASSES):
+        out = F.when(F.upper(c).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def err_sample_row() -> Column:
+    """array of errors of a sample row: columns that lack, a class of no commodity, alcohol that is no number (of any size)."""
+    abv = presence(F.col("alcohol_content"))
+    return row_errors(*[error(presence(F.col(c)).isNull(), "missing_value", f"{c} is required") for c in SAMPLE_REQUIRED],
+                      error(sample_commodity(F.col("class_type")).isNull(), "invalid_value", "class_type could not be mapped to malt, wine, or spirits"),
+                      error(abv.isNotNull() & ~abv.rlike(NUMBER), "invalid_value", "alcohol_content must be a number"))
+
+
+def _unescape(c: Column) -> Column:
+    """The character references that addresses have."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def build_rows(df: DataFrame) -> DataFrame:
+    """Typed declared rows of checked text rows; blank is null, imported is false unless said, varietals are parted by semicolons."""
+    from veriframe.functions.text import tri_bool
+
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    text, number = (lambda c: presence(have(c))), (lambda c: presence(have(c)).try_cast("double"))
+    cols = {c: strip(F.col(c)) for c in REQUIRED} | {"beverage_type": F.lower(strip(F.col("beverage_type"))), "imported": F.coalesce(tri_bool(have("imported")), F.lit(False)), "varietals": split_list(have("varietals")),
+            "alcohol_content": number("alcohol_content"), "actual_alcohol_content": number("actual_alcohol_content"), "vintage_year": presence(have("vintage_year")).try_cast("int")}
+    cols |= {c: text(c) for c in ("back_image_filename", "fanciful_name", "country_of_origin", "container_embossed_info", "appellation", "declared_class_type")} | {c: tri_bool(have(c)) for c in FLAG_COLUMNS}
+    return df.select(*[c for c in df.columns if c not in cols], *[v.alias(c) for c, v in cols.items()])
+
+
+def build_sample_rows(df: DataFrame) -> DataFrame:
+    """Declared rows of a sample export: imported is that a country is there, net contents are a sentinel where none are stated, nothing else is declared."""
+    country = strip(F.regexp_replace(presence(F.col("country_of_origin")), r"(?i)^product\s+of\s+", ""))
+    return df.select(strip(F.col("filename")).alias("serial_number"), sample_commodity(F.col("class_type")).alias("beverage_type"), presence(F.col("country_of_origin")).isNotNull().alias("imported"), strip(F.col("brand_name")).alias("brand_name"),
+                     presence(F.col("fanciful_name")).alias("fanciful_name"), _unescape(strip(F.col("bottler_address"))).alias("applicant_name_address"), presence(F.col("alcohol_content")).try_cast("double").alias("alcohol_content"),
+                     F.coalesce(presence(F.col("net_contents")), F.lit(NET_CONTENTS_SENTINEL)).alias("net_contents"), country.alias("country_of_origin"), presence(F.col("class_type")).alias("declared_class_type"))
+
+
+def union_errors(*errors: DataFrame) -> DataFrame:
+    """One stream of errors: columns that one lacks are null in it."""
+    out = errors[0]
+    for e in errors[1:]:
+        out = out.unionByName(e, allowMissingColumns=True)
+    return out

@@ -90,7 +90,10 @@ def apply_adjudications(findings: DataFrame, key: str, findings_col: str, adjudi
 def group_findings(findings: Column) -> Column:
     """struct of GROUPS: the findings of each, worst first, in their order of equals."""
     ranked = F.transform(F.array_sort(F.transform(findings, lambda f, i: F.struct((-severity(f["verdict"])).alias("s"), i.alias("i"), f.alias("f")))), lambda x: x["f"])
-    return F.struct(*[F.filter(ranked, lambda f, vs=vs: f["verdict"].isin(*vs)).alias(n) for n, vs in GROUPS.items()])
+    def of(verdicts):
+        return F.filter(ranked, lambda f: f["verdict"].isin(*verdicts))
+
+    return F.struct(*[of(vs).alias(n) for n, vs in GROUPS.items()])
 
 
 def expected_fields(declared: DataFrame, key: str, texts: list[str], alcohol: str | None = None, lists: list[str] | None = None) -> DataFrame:
@@ -102,6 +105,10 @@ def expected_fields(declared: DataFrame, key: str, texts: list[str], alcohol: st
     rows = F.array(*[row(c, value(c), search_terms(value(c))) for c in texts])
     if alcohol:
         rows = F.concat(rows, F.array(row(alcohol, F.col(alcohol).cast("string"), abv_terms(F.col(alcohol)))))
-    for c in lists or []:
-        rows = F.concat(rows, F.coalesce(F.transform(c, lambda v, c=c: row(c, presence(v), search_terms(presence(v)))), F.slice(rows, 1, 0)))
+
+
+    def elements(c: str) -> Column:
+        return F.coalesce(F.transform(c, lambda v: row(c, presence(v), search_terms(presence(v)))), F.slice(rows, 1, 0))
+
+    rows = F.concat(rows, *[elements(c) for c in lists or []])
     return declared.select(key, F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("r")).select(key, "r.*")

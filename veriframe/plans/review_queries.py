@@ -539,12 +539,13 @@ def first_good_event(spark, d):
     return latest.first_per_key(t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ORDER, c("event_type") != "error").select("user_id", "event_id")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, row_number() over w rank, coalesce(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey rows between unbounded preceding and 1 preceding), 0) before from lineitem window w as (partition by l_orderkey order by case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end, l_linenumber, l_partkey) qualify row_number() over w <= 2")
+@query("""with r as (select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end, l_linenumber, l_partkey, l_quantity) rank,
+ coalesce(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity rows between unbounded preceding and 1 preceding), 0) before from lineitem) select * from r where rank <= 2""")
 def first_two_lines(spark, d):
-    l = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").withColumn("place", F.struct("l_linenumber", "l_partkey"))
+    l = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").withColumn("place", F.struct("l_linenumber", "l_partkey", "l_quantity"))
     o = latest.running_offset(l, "l_orderkey", "place", "l_quantity")
     priority = F.when(c("l_returnflag") == "R", 0).when(c("l_returnflag") == "A", 1).otherwise(2)
-    return latest.top_n(o, ["l_orderkey"], [priority, c("l_linenumber"), c("l_partkey")], 2).select("l_orderkey", "l_linenumber", "l_partkey", "rank", c("offset").alias("before"))
+    return latest.top_n(o, ["l_orderkey"], [priority, c("l_linenumber"), c("l_partkey"), c("l_quantity")], 2).select("l_orderkey", "l_linenumber", "l_partkey", "rank", c("offset").alias("before"))
 
 
 @query("""select event_type, count(*) filter (event_id % 4 = 0) reused, count(*) filter (event_id % 4 <> 0) fresh from events group by 1""")

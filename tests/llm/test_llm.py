@@ -500,3 +500,83 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
     packed = corpus_pipeline.run(spark, DIR)
     assert 0 < packed.select("doc_id").distinct().count() <= docs.count()
+
+
+def plain_groups(rows, shingle=5, similarity=0.8):
+    """id -> smallest id reachable by exact Jaccard links of word shingles, by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            both = len(a & b)
+            if (not a and not b) or (a and b and both >= similarity * (len(a) + len(b) - both)):
+                x, y = root(i), root(j)
+                low[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicate_stage_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rng = random.Random(14)
+    short = [(10_000 + k, " ".join(f"s{k // 3}x{j}" for j in range(6 + k % 30)) + " end" * (k % 3)) for k in range(120)]
+    more = [(i + 20_000, " ".join(w for w in (t or "").split() if rng.random() > 0.01)) for i, t in rows[:60]]
+    every = rows + short + more
+    groups = plain_groups(every)
+    left = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(every, "doc_id long, text string")).collect()}
+    want = {i for i, g in groups.items() if i == g}
+    assert left >= want and len(left - want) <= 0.02 * (len(every) - len(want)) + 1, (len(left), len(want))
+
+
+def test_pipeline_stages_on_odd_rows_against_plain_versions(spark):
+    odd = [(i, t, "en", "web", 1) for i, t in ODD]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"fp": F.lit(1), "low": F.lit("x"), "spans": F.lit(2)})
+    documents, labels, bench = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
+    q, t = quality.fit(documents, quality.graded(labels)), toxicity.fit(documents, labels)
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    got = {n: sorted([(r.doc_id, r.text) for r in stage(spark, docs, DIR).collect()], key=order) for n, stage in corpus_pipeline.STAGES[:-1]}
+    assert got["quality_classifier"] == sorted([r for r in ODD if q.tails(r[1], {})[0] >= 0.5], key=order)
+    assert got["toxicity"] == sorted([r for r in ODD if t.probability(t.features(t.passages(r[1])[1])) < 0.5], key=order)
+    groups = plain_groups([r for r in ODD if r[0] is not None])
+    assert got["simhash_near_dedup"] == sorted([r for r in ODD if r[0] is None or groups[r[0]] == r[0]], key=order)
+    assert got["decontamination"] == sorted(ODD, key=order)  # none has a benchmark's words
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), DIR)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).filter("start = 0").count() == len(ODD)
+    item = next(r for r in bench.collect() if len(words(r.text)) >= 12)
+    leak = spark.createDataFrame([(1, f"before {item.text} after", "en", "web", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = corpus_pipeline.decontaminate(spark, leak, DIR).first()
+    assert words(r.text) == [b"before", b"after"] and r.n_chars == len(r.text)
+
+
+def test_bm25_scores_by_the_formula():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 30, rng.integers(3, 40)).astype(np.uint16) for _ in range(40)]
+    index = packing.Bm25(texts)
+    mean = np.mean([len(x) for x in texts])
+
+    def plain(seed, k):
+        out = 0.0
+        for term in set(texts[seed].tolist()):
+            df = sum(term in x for x in texts)
+            tf = int((texts[k] == term).sum())
+            if df > 1 and tf:
+                out += np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(texts[k]) / mean))
+        return out
+
+    for seed in range(10):
+        got = index.neighbours(seed, np.zeros(len(texts), bool), 65536, len(texts))
+        want = sorted((k for k in range(len(texts)) if k != seed and plain(seed, k) > 0), key=lambda k: (-round(plain(seed, k), 9), k))
+        assert got == want

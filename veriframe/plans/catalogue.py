@@ -21,67 +21,102 @@ SUFFICIENT = ("true", "false", "conditional")
 #: A catalogue of more entries than this is refused: it would not be a literal of bounded size.
 MOST_ENTRIES = 20_000
 
-# Designations in the order in which they are looked up. Whiskey is read as whisky.
-_GRAINS = ("bourbon", "rye", "wheat", "malt", "rye malt", "corn")
+# Designations in the order in which they are looked up, as plain lists of names. Whiskey is read as whisky.
 _ELSEWHERE = "type, American or a statement of the true place of production"
 MALT = [
-    {"names": "ale, beer, lager, lager beer, malt liquor, porter, stout"},
-    {"names": "cereal beverage, near beer"},
-    {"names": "amber ale, amber lager, barley wine ale, barley wine style ale, bitter ale, bock beer, brown ale, cream ale, cream stout, dry beer, export ale, export beer, golden ale, golden lager, "
-               "ice beer, imperial stout, ipa, india pale ale, pale ale, rye beer, stock ale, wheat beer"},
-    {"names": "draft beer, draught beer", "note": "Pasteurized beer is draft only in large containers with a tap"},
-    {"names": "bavarian, dortmund, dortmunder, kulmbacher, munich, munchner, salvator, wein, weiner, wurtzburger", "produced_in": "Germany", "qualifier": _ELSEWHERE},
-    {"names": "vienna", "produced_in": "Austria", "qualifier": _ELSEWHERE},
-    {"names": "pilsen, pilsener, pilsner, pils", "produced_in": "Czech Republic or United States", "qualifier": _ELSEWHERE},
-    {"names": "black and tan, half and half", "sufficient": "false", "composition": "The designation must name both classes"},
-    {"names": "malt beverage specialty", "sufficient": "false", "composition": "A distinctive name and a statement of composition are needed"},
+    {"names": ["ale", "beer", "lager", "lager beer", "malt liquor", "porter", "stout"]},
+    {"names": ["cereal beverage", "near beer"]},
+    {"names": ["amber ale", "amber lager", "barley wine ale", "barley wine style ale", "bitter ale", "bock beer", "brown ale", "cream ale", "cream stout", "dry beer", "export ale", "export beer",
+               "golden ale", "golden lager", "ice beer", "imperial stout", "ipa", "india pale ale", "pale ale", "rye beer", "stock ale", "wheat beer"]},
+    {"names": ["draft beer", "draught beer"],
+     "note": "Pasteurized beer is draft only in large containers with a tap"},
+    {"names": ["bavarian", "dortmund", "dortmunder", "kulmbacher", "munich", "munchner", "salvator", "wein", "weiner", "wurtzburger"],
+     "produced_in": "Germany", "qualifier": _ELSEWHERE},
+    {"names": ["vienna"],
+     "produced_in": "Austria", "qualifier": _ELSEWHERE},
+    {"names": ["pilsen", "pilsener", "pilsner", "pils"],
+     "produced_in": "Czech Republic or United States", "qualifier": _ELSEWHERE},
+    {"names": ["black and tan", "half and half"],
+     "sufficient": "false", "composition": "The designation must name both classes"},
+    {"names": ["malt beverage specialty"],
+     "sufficient": "false", "composition": "A distinctive name and a statement of composition are needed"},
 ]
 WINE = [
-    {"names": "table wine, light wine"},
-    {"names": "dessert wine"},
-    {"names": "red wine, white wine, rose wine, pink wine, amber wine"},
-    {"names": "grape wine, citrus wine, fruit wine, berry wine, sparkling wine, carbonated wine, crackling wine, petillant wine, frizzante wine, cremant wine, perlant wine, reciotto wine, aperitif wine, "
-               "vermouth, cider, apple wine, perry, pear wine, mead, honey wine, sake, rice wine, raisin wine, muscadine, muscat, moscato, muscatel, light muscatel, scuppernong"},
-    {"names": "champagne", "produced_in": "France"},
-    {"names": "burgundy, chablis, chianti, claret, malaga, marsala, moselle, rhine wine, hock, sauterne, haut sauterne, tokay, sherry, light sherry, madeira, light madeira, port, light port, angelica, "
-               "light angelica, retsina"},
-    {"names": "substandard wine, other than standard wine, imitation wine", "sufficient": "false", "composition": "The class or type that it would be must be named"},
-    {"names": "wine specialty", "sufficient": "false", "composition": "A statement of composition is needed on the brand label"},
+    {"names": ["table wine", "light wine"]},
+    {"names": ["dessert wine"]},
+    {"names": ["red wine", "white wine", "rose wine", "pink wine", "amber wine"]},
+    {"names": ["grape wine", "citrus wine", "fruit wine", "berry wine", "sparkling wine", "carbonated wine", "crackling wine", "petillant wine", "frizzante wine", "cremant wine", "perlant wine",
+               "reciotto wine", "aperitif wine", "vermouth", "cider", "apple wine", "perry", "pear wine", "mead", "honey wine", "sake", "rice wine", "raisin wine", "muscadine", "muscat", "moscato",
+               "muscatel", "light muscatel", "scuppernong"]},
+    {"names": ["champagne"],
+     "produced_in": "France"},
+    {"names": ["burgundy", "chablis", "chianti", "claret", "malaga", "marsala", "moselle", "rhine wine", "hock", "sauterne", "haut sauterne", "tokay", "sherry", "light sherry", "madeira", "light madeira",
+               "port", "light port", "angelica", "light angelica", "retsina"]},
+    {"names": ["substandard wine", "other than standard wine", "imitation wine"],
+     "sufficient": "false", "composition": "The class or type that it would be must be named"},
+    {"names": ["wine specialty"],
+     "sufficient": "false", "composition": "A statement of composition is needed on the brand label"},
 ]
 SPIRITS = [
-    {"names": "neutral spirits, alcohol, vodka, grain spirits", "min_abv": 40.0},
-    {"names": "gin, distilled gin, compounded gin, redistilled gin", "min_abv": 40.0},
-    {"names": "bourbon whisky, straight bourbon whisky, whisky distilled from bourbon mash", "min_abv": 40.0},
-    {"names": ", ".join([f"{g} whisky" for g in _GRAINS[1:]] + [f"straight {g} whisky" for g in _GRAINS[1:]] + ["straight whisky"] + [f"whisky distilled from {g} mash" for g in _GRAINS[1:5]]),
-      "min_abv": 40.0, "produced_in": "United States", "qualifier": _ELSEWHERE},
-    {"names": "light whisky, blended light whisky, light whisky a blend", "min_abv": 40.0},
-    {"names": ", ".join(["blended whisky", "whisky a blend"] + [f"blended {g} whisky" for g in _GRAINS] + ["bourbon whisky a blend", "spirit whisky"]), "min_abv": 40.0},
-    {"names": ", ".join(["a blend of straight whiskies", "blended straight whiskies", "blended straight bourbon whiskies"] + [f"a blend of straight {g} whiskies" for g in _GRAINS]), "min_abv": 40.0},
-    {"names": "whisky", "sufficient": "conditional", "min_abv": 40.0, "note": "Enough alone only for blends of two or more types of whisky, or a type treated with unusual materials"},
-    {"names": "scotch whisky, blended scotch whisky, scotch whisky a blend", "min_abv": 40.0, "produced_in": "Scotland"},
-    {"names": "irish whisky, blended irish whisky", "min_abv": 40.0, "produced_in": "Ireland or Northern Ireland"},
-    {"names": "canadian whisky, blended canadian whisky, canadian whisky a blend", "min_abv": 40.0, "produced_in": "Canada"},
-    {"names": "rum", "min_abv": 40.0},
-    {"names": "tequila", "min_abv": 40.0, "produced_in": "Mexico"},
-    {"names": "mescal, mezcal", "min_abv": 40.0, "produced_in": "Mexico"},
-    {"names": "brandy", "min_abv": 40.0},
-    {"names": "fruit brandy, apple brandy, applejack, kirschwasser, slivovitz, immature brandy, pisco, raisin brandy, lees brandy, pomace brandy, marc brandy, grappa, grappa brandy, residue brandy, "
-               "neutral brandy, substandard brandy, blended applejack, applejack a blend, dried fruit brandy", "min_abv": 40.0},
-    {"names": "cognac, armagnac, calvados", "min_abv": 40.0, "produced_in": "France"},
-    {"names": ", ".join(["liqueur", "cordial", "sloe gin", "amaretto", "kummel", "ouzo", "anise", "anisette", "peppermint schnapps", "triple sec", "curacao"]
-                         + [f"{s} {k}" for s in ("rye", "bourbon", "rum", "gin", "brandy") for k in ("liqueur", "cordial")] + ["arak", "arack", "raki"]), "min_abv": 30.0},
-    {"names": "rock and rye, rock and bourbon, rock and brandy, rock and rum", "min_abv": 24.0},
-    {"names": "sambuca", "min_abv": 30.0, "produced_in": "Italy", "qualifier": _ELSEWHERE},
-    {"names": "goldwasser", "min_abv": 30.0, "produced_in": "Germany", "qualifier": _ELSEWHERE},
-    {"names": "creme de menthe, creme de cacao, creme de almond, creme de cassis, creme de banana, creme de peach", "min_abv": 30.0},
-    {"names": "flavored brandy, flavored gin, flavored rum, flavored vodka, flavored whisky", "sufficient": "conditional", "min_abv": 30.0, "composition": "The predominant flavor must be part of the designation"},
-    {"names": "advocaat, aquavit, bitters"},
-    {"names": "distilled spirits specialty", "sufficient": "false", "composition": "A distinctive name and a statement of composition are needed"},
+    {"names": ["neutral spirits", "alcohol", "vodka", "grain spirits"],
+     "min_abv": 40.0},
+    {"names": ["gin", "distilled gin", "compounded gin", "redistilled gin"],
+     "min_abv": 40.0},
+    {"names": ["bourbon whisky", "straight bourbon whisky", "whisky distilled from bourbon mash"],
+     "min_abv": 40.0},
+    {"names": ["rye whisky", "wheat whisky", "malt whisky", "rye malt whisky", "corn whisky", "straight rye whisky", "straight wheat whisky", "straight malt whisky", "straight rye malt whisky",
+               "straight corn whisky", "straight whisky", "whisky distilled from rye mash", "whisky distilled from wheat mash", "whisky distilled from malt mash", "whisky distilled from rye malt mash"],
+     "min_abv": 40.0, "produced_in": "United States", "qualifier": _ELSEWHERE},
+    {"names": ["light whisky", "blended light whisky", "light whisky a blend"],
+     "min_abv": 40.0},
+    {"names": ["blended whisky", "whisky a blend", "blended bourbon whisky", "blended rye whisky", "blended wheat whisky", "blended malt whisky", "blended rye malt whisky", "blended corn whisky",
+               "bourbon whisky a blend", "spirit whisky"],
+     "min_abv": 40.0},
+    {"names": ["a blend of straight whiskies", "blended straight whiskies", "blended straight bourbon whiskies", "a blend of straight bourbon whiskies", "a blend of straight rye whiskies",
+               "a blend of straight wheat whiskies", "a blend of straight malt whiskies", "a blend of straight rye malt whiskies", "a blend of straight corn whiskies"],
+     "min_abv": 40.0},
+    {"names": ["whisky"],
+     "sufficient": "conditional", "min_abv": 40.0, "note": "Enough alone only for blends of two or more types of whisky, or a type treated with unusual materials"},
+    {"names": ["scotch whisky", "blended scotch whisky", "scotch whisky a blend"],
+     "min_abv": 40.0, "produced_in": "Scotland"},
+    {"names": ["irish whisky", "blended irish whisky"],
+     "min_abv": 40.0, "produced_in": "Ireland or Northern Ireland"},
+    {"names": ["canadian whisky", "blended canadian whisky", "canadian whisky a blend"],
+     "min_abv": 40.0, "produced_in": "Canada"},
+    {"names": ["rum"],
+     "min_abv": 40.0},
+    {"names": ["tequila"],
+     "min_abv": 40.0, "produced_in": "Mexico"},
+    {"names": ["mescal", "mezcal"],
+     "min_abv": 40.0, "produced_in": "Mexico"},
+    {"names": ["brandy"],
+     "min_abv": 40.0},
+    {"names": ["fruit brandy", "apple brandy", "applejack", "kirschwasser", "slivovitz", "immature brandy", "pisco", "raisin brandy", "lees brandy", "pomace brandy", "marc brandy", "grappa",
+               "grappa brandy", "residue brandy", "neutral brandy", "substandard brandy", "blended applejack", "applejack a blend", "dried fruit brandy"],
+     "min_abv": 40.0},
+    {"names": ["cognac", "armagnac", "calvados"],
+     "min_abv": 40.0, "produced_in": "France"},
+    {"names": ["liqueur", "cordial", "sloe gin", "amaretto", "kummel", "ouzo", "anise", "anisette", "peppermint schnapps", "triple sec", "curacao", "rye liqueur", "rye cordial", "bourbon liqueur",
+               "bourbon cordial", "rum liqueur", "rum cordial", "gin liqueur", "gin cordial", "brandy liqueur", "brandy cordial", "arak", "arack", "raki"],
+     "min_abv": 30.0},
+    {"names": ["rock and rye", "rock and bourbon", "rock and brandy", "rock and rum"],
+     "min_abv": 24.0},
+    {"names": ["sambuca"],
+     "min_abv": 30.0, "produced_in": "Italy", "qualifier": _ELSEWHERE},
+    {"names": ["goldwasser"],
+     "min_abv": 30.0, "produced_in": "Germany", "qualifier": _ELSEWHERE},
+    {"names": ["creme de menthe", "creme de cacao", "creme de almond", "creme de cassis", "creme de banana", "creme de peach"],
+     "min_abv": 30.0},
+    {"names": ["flavored brandy", "flavored gin", "flavored rum", "flavored vodka", "flavored whisky"],
+     "sufficient": "conditional", "min_abv": 30.0, "composition": "The predominant flavor must be part of the designation"},
+    {"names": ["advocaat", "aquavit", "bitters"]},
+    {"names": ["distilled spirits specialty"],
+     "sufficient": "false", "composition": "A distinctive name and a statement of composition are needed"},
 ]
 
 #: The shipped entries as rows of ENTRY.
 DEFAULT: list[dict] = [
-    {"commodity": commodity, "entry": i, "kind": "class_or_type", "sufficient": "true"} | e | {"names": e["names"].split(", ")}
+    {"commodity": commodity, "entry": i, "kind": "class_or_type", "sufficient": "true"} | e
     for commodity, entries in (("malt", MALT), ("wine", WINE), ("spirits", SPIRITS)) for i, e in enumerate(entries)
 ]
 

@@ -209,9 +209,9 @@ def check_varietals() -> Column:
     missing = F.filter(want, lambda e: ~F.exists(got, lambda v: same(e, v)))
     qualified = F.exists(got, lambda v: F.exists(want, lambda e: wider(e, v)))
     verdict = F.when(F.size(unlisted) > 0, "fail").when(F.size(missing) > 0, "needs_review").when(qualified, "pass_with_note").otherwise("pass")
-    note = F.when(F.size(unlisted) > 0, F.concat(F.lit("Label varietals not listed on the application: "), F.array_join(unlisted, ", "))).when(
-        F.size(missing) > 0, F.concat(F.lit("Application lists varietals not found on the label: "), F.array_join(missing, ", "))).when(
-        qualified, "Label varietal wording includes the declared varietal with additional modifier text")
+    note = F.when(F.size(unlisted) > 0, F.concat(F.lit("On the label, but not declared: "), F.array_join(unlisted, ", "))).when(
+        F.size(missing) > 0, F.concat(F.lit("Declared, but not on the label: "), F.array_join(missing, ", "))).when(
+        qualified, "The label names a declared grape with more words around it")
     f = finding("varietals", verdict, F.array_join(want, ", "), F.array_join(got, ", "))
     return F.when((c("beverage_type") == "wine") & c("label_varietals").isNotNull() & (F.size(want) + F.size(got) > 0), f.withField("note", note))
 
@@ -314,12 +314,12 @@ def check_commodity_statement() -> Column:
 def coverage_note(findings: Column, least: int = 3) -> Column:
     """A note where at least so many failing or open findings have nothing extracted; else null."""
     empty = F.filter(findings, lambda f: f["verdict"].isin("fail", "needs_review") & (F.trim(F.coalesce(f["extracted"], F.lit(""))) == ""))
-    return F.when(F.size(empty) >= least, finding("artwork_quality", "pass_with_note", note="Several mandatory items could not be read from the artwork at all - consider requesting a better image before rejecting"))
+    return F.when(F.size(empty) >= least, finding("artwork_quality", "pass_with_note", note="Some required items were not readable anywhere; a clearer picture may settle them"))
 
 
 def duplicate_note() -> Column:
     """A note where duplicate_of names another record with the same artwork."""
-    note = F.concat(F.lit("This artwork was previously verified as application "), c("duplicate_of"))
+    note = F.concat(F.lit("The same artwork stands with record "), c("duplicate_of"))
     return F.when(c("duplicate_of").isNotNull(), finding("duplicate_artwork", "pass_with_note", note="").withField("note", note))
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.shared import materialize, words_of
+from veriframe.llm.shared import discard, materialize, words_of
 
 #: Bound of the fit: labelled rows, by a hash of their id. All tokens of these rows have a weight.
 SAMPLE_ROWS = 20_000
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     names = ["first", "second", "total", "often"]
     got = rows.mapInPandas(features, "first double, second double, total double, often double, toxic int").toArrow().to_pandas()  # at most SAMPLE_ROWS
+    discard(rows)
     model = models[2]
     model.curve = tuple(float(v) for v in _logistic(np.c_[np.ones(len(got)), got[names]], got["toxic"].to_numpy(float)))
     return model
@@ -208,7 +209,9 @@ def _weights(rows: DataFrame, n: dict[tuple[int, int], int]) -> list[Toxicity]:
     words = counts.filter("prefix is not null").join(prefixes.hint("merge"), "prefix", "left")
     words = words.select("token", *[odds(h, 1 / (1 + F.exp(-clipped(h))), PSEUDO).cast("float").alias(f"w{h}") for h in size])
     table = words.unionByName(prefixes.select(F.col("prefix").alias("token"), *[F.col(f"w{h}").cast("float").alias(f"w{h}") for h in size]))
-    got = materialize(table).toArrow()  # numbers alone, bounded by the tokens of SAMPLE_ROWS texts
+    table = materialize(table)
+    got = table.toArrow()  # numbers alone, bounded by the tokens of SAMPLE_ROWS texts
+    discard(counts, table)
     order = np.argsort(got["token"].to_numpy())
     keys = got["token"].to_numpy()[order]
     return [Toxicity(keys, got[f"w{h}"].to_numpy()[order]) for h in (0, 1, 2)]

@@ -346,6 +346,28 @@ def detail_pages(spark, d):
     return forms.parse_detail_pages(s).select("s_suppkey", "origin", "vintage")
 
 
+@query("""select p_partkey, case when p_partkey % 10 = 0 then 'not_a_form' when p_partkey % 10 = 1 then 'unknown_product' end error,
+ case when p_partkey % 10 > 1 then 'P-' || p_partkey end serial_number, case when p_partkey % 10 > 1 then p_brand || ' & Co' end brand_name, case when p_partkey % 10 > 1 and p_size % 2 = 0 then p_name end fanciful_name,
+ case when p_partkey % 10 > 1 then case p_partkey % 3 when 0 then 'wine' when 1 then 'malt' else 'spirits' end end beverage_type, case when p_partkey % 10 > 1 then p_size > 25 end imported,
+ case when p_partkey % 10 > 1 then p_brand || ' LLC, Plant ' || p_size end applicant_name_address, case when p_partkey % 10 > 1 then p_type end declared_class_type,
+ case when p_partkey % 10 > 1 then 2 end n_images from part""")
+def registry_forms(spark, d):
+    """Form pages of a registry that the parts would have, read back; every tenth is no form, another has no product."""
+    k = F.col("p_partkey")
+    product = F.when(k % 10 == 1, "Other").when(k % 3 == 0, "Wine").when(k % 3 == 1, "Malt Beverage").otherwise("Distilled Spirits")
+    box = lambda what, value, on: F.concat(F.lit(f'<input type="checkbox" alt="{what}: '), value, F.lit('" '), F.when(on, "checked").otherwise(""), F.lit(">"))
+    image = lambda n: F.concat(F.lit(f"{forms.IMAGE} Front<br><img src='/{forms.ATTACHMENT}.do?f={n}-"), k, F.lit("'>"))
+    cell = lambda *x: F.concat(F.lit("<td>"), *[F.lit(v) if isinstance(v, str) else v for v in x], F.lit("</td>"))
+    page = F.concat(F.lit("<p>PART I - APPLICATION</p><table><tr>"), cell(f"<div>{forms.SERIAL} <i>(Required)</i></div><div>P-", k, "</div>"), cell(f"{forms.BRAND} (Required)<br> ", F.col("p_brand"), " &amp; Co"),
+                    F.lit("</tr><tr>"), cell(box(forms.PRODUCT, product, F.lit(True)), box(forms.SOURCE, F.lit(forms.IMPORTED), F.col("p_size") > 25)),
+                    cell(f"{forms.FANCIFUL} (If any)\n", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("")),
+                    F.lit("</tr><tr>"), cell(f"<div>{forms.APPLICANT}</div><div>", F.col("p_brand"), "\n LLC</div><div>Plant ", F.col("p_size"), "</div>"),
+                    cell(forms.CLASS), cell(F.col("p_type"), " EXPIRATION DATE"), F.lit("</tr></table>"), image("a"), image("b"))
+    pages = t(spark, d, "part").select("p_partkey", F.when(k % 10 == 0, "<p>Not found</p>").otherwise(page).alias("html"))
+    rows = forms.registry_rows(pages, "p_partkey").withColumn("n_images", F.when(F.col("error").isNull(), F.size("images")))
+    return rows.drop("images", "varietals", "appellation")
+
+
 @query("""with v(kind, i, name) as (values ('malt',0,'standard'),('malt',1,'promo'),('malt',1,'brushed'),('wine',0,'economy anodized'),('wine',1,'steel'),('wine',2,'economy'),('spirits',0,'small plated brass')),
 p as (select p_partkey, lower(p_type) x, case p_partkey % 3 when 0 then 'malt' when 1 then 'wine' else 'spirits' end kind from part),
 m as (select p_partkey, i, case when x = name then 1 when contains(' '||x||' ', ' '||name||' ') then 2 end tier from p join v using (kind))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriframe.operators import scan
+
 #: Severity of verdicts, mildest first (a fixed order).
 SEVERITY = {"not_applicable": 0, "not_required": 1, "pass": 2, "pass_with_note": 3, "needs_review": 4, "fail": 5}
 #: Verdicts that a rollup names; anything milder is a pass.
@@ -119,19 +121,19 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
 
 
 def running_offset(df: DataFrame, key: str, order: str, size_col: str) -> DataFrame:
-    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(size_col).over(before), F.lit(0)))
+    """The sum of size_col over the earlier rows of the key, by a prefix scan: a key of any size is split between tasks."""
+    return scan.running(scan.blocks(df, [key], [order]), [key], [order], offset=("sum_before", F.col(size_col))).drop("block")
 
 
 def reuse_asof(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """The newest earlier value under the same keys, null for the first."""
-    return df.withColumn("reused", F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+    """The newest earlier value under the same keys, null for the first, by a prefix scan."""
+    return scan.running(scan.blocks(df, keys, order), keys, order, reused=("prior", F.col(value))).drop("block")
 
 
 def reuse_with_owner(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, owner: str) -> DataFrame:
     """reuse_asof that also names, as duplicate_of, the owner of the reused value where it is another's."""
-    old = F.lag(F.struct(F.col(value).alias("v"), F.col(owner).alias("o"))).over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_old", old).withColumns({"reused": F.col("_old.v"), "duplicate_of": F.when(F.col("_old.o") != F.col(owner), F.col("_old.o"))}).drop("_old")
+    old = scan.running(scan.blocks(df, keys, order), keys, order, _old=("prior", F.struct(F.col(value).alias("v"), F.col(owner).alias("o"))))
+    return old.withColumns({"reused": F.col("_old.v"), "duplicate_of": F.when(F.col("_old.o") != F.col(owner), F.col("_old.o"))}).drop("_old", "block")
 
 
 def union_box(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -472,11 +472,11 @@ def sample_rows(spark, d):
     return ingest.build_sample_rows(p).select("serial_number", "beverage_type", "imported", "applicant_name_address", "net_contents", "country_of_origin")
 
 
-@query(r"""with w as (select doc_id, array_to_string(string_split_regex(text, '\s+')[1:6], ' ') a from documents where text is not null), n as (select doc_id, a, trim(regexp_replace(regexp_replace(lower(strip_accents(a)), '[\p{P}$+<=>^`|~]', ' ', 'g'), '\s+', ' ', 'g')) x from w)
+@query(r"""with w as (select doc_id, text a from documents where text is not null), n as (select doc_id, a, trim(regexp_replace(regexp_replace(lower(strip_accents(a)), '[\p{P}$+<=>^`|~]', ' ', 'g'), '\s+', ' ', 'g')) x from w)
 select doc_id, x normalized, replace(x, ' ', '') <> '' equivalent, replace(x, ' ', '') <> '' not_identical from n""")
 def folded_texts(spark, d):
-    """The first six words of every document against themselves without marks and with a sign behind."""
-    w = t(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("a"))
+    """Every whole document against itself without marks and with a sign behind."""
+    w = t(spark, d, "documents").filter("text is not null").select("doc_id", c("text").alias("a"))
     other = F.concat(X.unaccent(c("a")), lit("!"))
     return w.select("doc_id", X.normalize(c("a")).alias("normalized"), X.equivalent(c("a"), other).alias("equivalent"), X.equivalent_not_identical(c("a"), other).alias("not_identical"))
 
@@ -494,7 +494,7 @@ _P = "p as (select *, p_size s, p_size % 4 k from part) "
 
 
 @query("with " + _P + r"""select p_partkey, k = 0 sentinel, k < 2 is_alcohol, case when s % 3 = 0 then true when s % 3 = 1 then false end tri, cast(s as varchar) || '%' pct, s || '.5 mL' ml, printf('%.1f', s / 10) || ' s' secs, upper(p_brand[1:1]) || p_brand[2:] || ' x' field_label, coalesce(s + 1, 0) wait,
- 'a+' || p_brand fingerprint, case when k = 0 then 'image/png' when k = 1 then 'application/pdf' end kind, 'ab c' hyphens, case when k = 0 then 'pending' else 'March ' || (s % 28 + 1) || ', 2024' end decided, case when k = 0 then null else s + 1.5 end summed, case when k < 2 then 2000 + s end vintage,
+ 'a+' || p_brand fingerprint, case when k = 0 then 'image/png' when k = 1 then 'application/pdf' end kind, 'ab c' hyphens, case when k = 0 then 'pending' else 'March ' || (s % 28 + 1) || ', 2024' end decided, case when k = 0 then null else cast(s + 1.5 as double) end summed, case when k < 2 then 2000 + s end vintage,
  round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) similarity, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda x: x <> ''), ',') name_tokens, k = 0 has_state, case k when 0 then 'Austin' when 1 then 'Reno' end city, case k when 0 then 'TX' when 1 then 'NV' end state from p""")
 def scalar_functions(spark, d):
     s, k = c("p_size"), c("p_size") % 4

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat, decontam, html, licenses, packing, quality, rabitq, simhash, tokens, toxicity
+from veriframe.llm import chat, decontam, html, licenses, packing, quality, rabitq, simhash, tokens, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +66,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    heads = (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int")
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), conv - conv % 100, heads, 5).drop("proven")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.CHAT_SQL, "op11_prefix_trie": trie.TRIE_SQL}

@@ -3,48 +3,20 @@ connected components and the comparison of rows that meet in a bucket."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.tables import Scratch, discard, materialize, new_path, shared_dir  # noqa: F401  the operators here take them from this module
+
 #: A side with at most so many narrow rows (an id or two, under 64 MB) is broadcast.
 BROADCAST_ROWS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, sizes are known, any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veriframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that materialize wrote, when nothing will read them again."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
     """left join right (a written table of narrow rows): broadcast only when right's counted rows stay under BROADCAST_ROWS."""
     n = right.count() if rows is None else rows
@@ -169,3 +141,26 @@ WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case; none of null."""
     return text.encode().translate(WORD_BYTES).split() if text else []
+
+
+def sha256_of_chunks(chunks: DataFrame, keys: list[str], order: str, chunk: str, separator: str = "") -> DataFrame:
+    """keys (none of them null), sha256: the digest of each key's chunks in order, with the separator between two. A task goes along the bytes of a key and keeps none of them."""
+    schema = ", ".join(f"{k} {t}" for k, t in chunks.select(*keys).dtypes)
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, h = None, None
+        for pdf in batches:
+            done = []
+            for *k, text in zip(*[pdf[c] for c in keys], pdf[chunk]):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, h.hexdigest()))
+                    key, h = k, hashlib.sha256()
+                else:
+                    h.update(separator.encode())
+                h.update(text.encode())
+            yield pd.DataFrame(done, columns=[*keys, "sha256"])
+        if key is not None:
+            yield pd.DataFrame([(*key, h.hexdigest())], columns=[*keys, "sha256"])
+
+    return chunks.select(*keys, order, chunk).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(digest, f"{schema}, sha256 string")

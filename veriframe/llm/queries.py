@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat, decontam, html, licenses, packing, quality, rabitq, simhash, tokens, toxicity, trie
+from veriframe.llm import chat, decontam, html, licenses, packing, quality, rabitq, repair, rules, simhash, tokens, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,5 +72,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"), conv - conv % 100, heads, 5).drop("proven")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.CHAT_SQL, "op11_prefix_trie": trie.TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.CHAT_SQL, "op11_prefix_trie": trie.TRIE_SQL, "op13_structure_repair": repair.REPAIR_SQL}

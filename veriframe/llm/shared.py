@@ -164,3 +164,7 @@ def sha256_of_chunks(chunks: DataFrame, keys: list[str], order: str, chunk: str,
             yield pd.DataFrame([(*key, h.hexdigest())], columns=[*keys, "sha256"])
 
     return chunks.select(*keys, order, chunk).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(digest, f"{schema}, sha256 string")
+
+
+#: Unsigned CRC-32 in DuckDB's SQL of a text {s} of digits and signs.
+CRC_SQL = "xor(list_reduce([4294967295::bigint] || list_transform(string_split({s}, ''), lambda x: ord(x)::bigint), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"

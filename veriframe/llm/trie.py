@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.shared import Scratch, sha256_of_chunks
+from veriframe.llm.shared import CRC_SQL, Scratch, sha256_of_chunks
 from veriframe.operators import scan
 
 #: Cells of each of the sketch's rows for every prefix, and the most there are: beyond, more prefixes are grouped exactly that did not need it.
@@ -226,9 +226,6 @@ def prefix_trie(turns: DataFrame, base_of: Column | None = None, heads: Column |
     return scratch.finish(trie(prefixes, convs, scratch))
 
 
-#: Unsigned CRC-32 of the text s, in DuckDB's SQL: bytes as code points, as the texts here are digits and signs.
-CRC_SQL = "xor(list_reduce([4294967295::bigint] || list_transform(string_split({s}, ''), x -> ord(x)::bigint), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)".replace("x -> ", "lambda x: ")
-
 TRIE_SQL = f"""
 with t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) k from conversations where conv_id is not null),
 h as (select c, {CRC_SQL.format(s="c::varchar")} % 6 h from (select distinct c from t)),

@@ -23,6 +23,7 @@ LETTERS = UPPER + UPPER.lower()
 ENDS = tuple(c.encode() for c in ".!?:;\"'”»。…")
 #: Bytes that are marks: printable ASCII without letters and digits.
 MARK = np.array([33 <= c <= 126 and not chr(c).isalnum() for c in range(256)])
+MARKS = bytes(np.flatnonzero(MARK).tolist())
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -68,7 +69,7 @@ def measure(text: str | None) -> dict[str, float]:
     return {
         "n_words": n, "word_chars": len(text or "") - less(WHITE), "n_symbols": less(SYMBOLS), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated_words(words), "lines": len(lines),
         "letters": less(LETTERS), "upper": less(UPPER) / max(1, less(LETTERS)), "digits": less(DIGITS) / max(1, len(raw)), "doubled": float((MARK[held[1:]] & (held[1:] == held[:-1])).sum() / some),
-        "stutter": sum(map(bytes.__eq__, words, words[1:])) / some, "ended": sum(x.rstrip().endswith(ENDS) for x in lines) / max(1, len(lines)), "longest": float(max(map(len, words), default=0)),
+        "stutter": sum(map(bytes.__eq__, words, words[1:])) / some, "ended": sum(x.rstrip().endswith(ENDS) for x in lines) / max(1, len(lines)), "lettered": len(raw.translate(None, MARKS).split()) / some, "longest": float(max(map(len, words), default=0)),
     }
 
 
@@ -97,6 +98,7 @@ RULES: dict[str, Vote] = {
     "windows": between(lambda m: m["n_repeat_words"] / m["n_words"], (0, 0.05), (0, 0.15), lambda m: m["n_words"] >= 30),
     "capitals": between(lambda m: m["upper"], (0, 0.15), (0, 0.4), lambda m: m["letters"] >= 20),
     "digits": between(lambda m: m["digits"], (0, 0.05), (0, 0.2), lambda m: m["n_words"] > 0),
+    "lettered": between(lambda m: m["lettered"], (0.95, 1), (0.8, 1), lambda m: m["n_words"] > 0),
     "doubled": between(lambda m: m["doubled"], (0, 0.02), (0, 0.1), lambda m: m["n_words"] > 0),
     "stutter": between(lambda m: m["stutter"], (0, 0.02), (0, 0.1), lambda m: m["n_words"] >= 10),
     "ended": between(lambda m: m["ended"], (0.5, 1), (0.1, 1), lambda m: m["lines"] >= 3),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriframe.operators import scan
+from veriframe.operators import ranks, scan
 
 #: Severity of verdicts, mildest first (a fixed order).
 SEVERITY = {"not_applicable": 0, "not_required": 1, "pass": 2, "pass_with_note": 3, "needs_review": 4, "fail": 5}
@@ -71,11 +71,8 @@ def tally_elements(df: DataFrame, array_col: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value_col: str, digits: int = 2) -> DataFrame:
-    """count, min, p50, p95, max, avg; percentiles by nearest rank (index ceil(n * q) - 1)."""
-    v = F.col(value_col)
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value_col})")
-    out = {"min": F.min(v), "p50": q(0.5), "p95": q(0.95), "max": F.max(v), "avg": F.avg(v)}
-    return df.groupBy(*keys).agg(F.count(v).alias("count"), *[F.round(c, digits).alias(k) for k, c in out.items()])
+    """count, min, p50, p95, max, avg; percentiles by nearest rank (index ceil(n * q) - 1), over groups of any size."""
+    return ranks.distribution(df, keys, value_col, digits)
 
 
 def map_distribution(df: DataFrame, keys: Sequence[str], map_col: str) -> DataFrame:
@@ -100,7 +97,8 @@ def batch_progress(df: DataFrame, batch: str, state: str, terminal: Sequence[str
 
 def run_summary(df: DataFrame, ok: Column, ms_col: str, target_ms: int, cold: bool) -> DataFrame:
     """Successes, failures, records a second, and whether the median of a cold run meets the target (null else)."""
-    g = df.agg(F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.sum(ms_col).alias("total_ms"), F.expr(f"percentile_disc(0.5) within group (order by {ms_col})").alias("p50"))
+    g = df.agg(F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.sum(ms_col).alias("total_ms"))
+    g = ranks.join_same(g, ranks.rank_values(df, [], ms_col, {"p50": 0.5}).withColumn("p50", F.col("p50").cast(df.schema[ms_col].dataType)), [], "left")
     rate = F.when(F.col("total_ms") > 0, F.round((F.col("successes") + F.col("failures")) * 1000 / F.col("total_ms"), 4))
     return g.withColumn("per_second", rate).withColumn("target_met", F.col("p50") <= target_ms if cold else F.lit(None).cast("boolean"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.text import field_label
+from veriframe.operators import ranks
 from veriframe.operators.latest import latest_per_key, severity
 
 
@@ -76,8 +77,7 @@ def rate(part: Column, whole: Column) -> Column:
 def attempt_report(df: DataFrame, state: str, wait: str) -> DataFrame:
     """Long metrics (metric, name, value): states, and the wait's distribution by nearest rank."""
     states = df.groupBy(F.col(state).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit("state").alias("metric"), "name", "value")
-    q = lambda p: F.expr(f"cast(percentile_disc({p}) within group (order by {wait}) as double)")
-    d = df.agg(F.count(wait).cast("double").alias("count"), F.min(wait).cast("double").alias("min"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.max(wait).cast("double").alias("max"))
+    d = ranks.distribution(df, [], wait, 10).withColumn("count", F.col("count").cast("double"))
     return states.union(d.unpivot([], ["count", "min", "p50", "p95", "max"], "name", "value").select(F.lit("wait").alias("metric"), "name", "value"))
 
 

@@ -1,9 +1,12 @@
-"""Spans of words that may be a declared value: made, scored and ranked as columns."""
+"""Spans of words that may be a declared value: opened around anchors, scored and ranked."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,35 +38,97 @@ def score(span: Column, target: Column) -> Column:
     return F.when(span["c"] == target["c"], 1.0).when(contained(span["c"], target["c"]), 0.95).when(span["c"] == "", 0.0).when(long_(span, a) | long_(target, b), by_tokens).otherwise(edits)
 
 
+def _next(places: list[tuple[int, int]], size: int) -> list[int]:
+    """For every place 0..size the least end among the (start, end) that start there or later; size + 1 where there is none."""
+    out = [size + 1] * (size + 2)
+    for start, end in places:
+        out[start] = min(out[start], end)
+    for i in range(size, -1, -1):
+        out[i] = min(out[i], out[i + 1])
+    return out
+
+
+def _found(text: str, part: str) -> list[tuple[int, int]]:
+    at, out = text.find(part), []
+    while at >= 0:
+        out.append((at, at + len(part)))
+        at = text.find(part, at + 1)
+    return out
+
+
+def anchored_spans(items: list[str], breaks: list[int], target: str, threshold: float) -> list[tuple[int, int]]:
+    """(first, last) of the spans of items that can reach the threshold for target; every text is normalised.
+
+    Two pointers carry the lengths. A span is opened only around an anchor: the whole target; enough of the target's words (one, or a quarter
+    of a long target's, and as many as the score by words needs); and, where edits count, one of the k + 1 parts of the target of which k edits must leave one untouched.
+    breaks: words of each item that a repaired hyphen may still join, by which the count of common words can fall short."""
+    wanted, goal = set(target.split()), target.replace(" ", "")
+    compact = [x.replace(" ", "") for x in items]
+    tokens = [x.split() for x in items]
+    n, size = len(items), len(goal)
+    low, high, far = int(size * (1 - SLACK)), math.ceil(size * (1 + SLACK)), size / CONTAINED_SHARE
+    long_ = size >= LONG_LENGTH or len(target.split()) >= LONG_TOKENS
+    place = [0, *itertools.accumulate(map(len, compact))]
+    text = "".join(compact)
+    whole = _next(_found(text, goal), len(text)) if size >= CONTAINED_LENGTH else None
+    few = max(1, math.ceil(LONG_RECALL * len(wanted))) if long_ else 1 if len(target.split()) >= 2 else 0
+    k = int((1 - threshold) * max(size, high) + 1e-9)
+    parts = None
+    if not long_ and k + 1 <= size:
+        cut = [size * i // (k + 1) for i in range(k + 2)]
+        parts = _next([x for i, j in zip(cut, cut[1:]) for x in _found(text, goal[i:j])], len(text))
+    # by words alone: 2 * common / (words of both) is to reach the threshold, and common is what the span has of wanted
+    by_words = threshold <= MOST_BY_TOKENS
+    hits = [[w for w in ws if w in wanted] for ws in tokens]
+    if whole is None and few and sum(map(len, hits)) < few:
+        return []
+    if whole is not None and whole[0] > len(text) and (sum(map(len, hits)) < few if few else parts is not None and parts[0] > len(text) and sum(map(len, tokens)) < LONG_TOKENS):
+        return []
+    out = []
+    for s in range(n):
+        begin, common, said, loose, words = place[s], set(), set(), 0, 0
+        for e in range(s, n):
+            length = place[e + 1] - begin
+            common.update(hits[e])
+            said.update(tokens[e])
+            loose += breaks[e]
+            words += len(tokens[e])
+            inside = whole is not None and whole[begin] <= place[e + 1] and length <= far
+            if length > high and not inside:
+                break
+            if inside:
+                out.append((s, e))
+            elif length >= low and len(common) >= few:
+                most = len(common) + loose
+                maybe_long = long_ or length >= LONG_LENGTH or words >= LONG_TOKENS
+                if maybe_long and by_words and 2 * most >= threshold * (max(1, len(said) - 2 * loose) + len(wanted)) - 1e-9:
+                    out.append((s, e))
+                elif not long_ and (words - loose < LONG_TOKENS) and length < LONG_LENGTH and (parts is None or parts[begin] <= place[e + 1]):
+                    out.append((s, e))
+    return out
+
+
 def find(pages: DataFrame, keys: Sequence[str], page: str, sequences: Sequence[str], target: str, threshold: float = 0.8, limit: int = 5) -> DataFrame:
     """(keys, page, text, score, confidence, x, y, width, height, rank): the best limit spans of each key for its target.
 
-    sequences: columns of arrays of struct(text, x, y, width, height, confidence) in reading order, words or lines; words are also read backward. Spans come
-    from prefix sums of lengths before any text is joined, and from words before any edits are counted; a page
+    sequences: columns of arrays of struct(text, x, y, width, height, confidence) in reading order, words or lines; the first is also read backward.
+    Texts are normalised once per item; anchored_spans says in Arrow batches which spans are worth a score, and Spark scores and ranks those. A page
     stays in its row. Equal (page, text, box) are one match. A blank target or a page without words gives no row."""
-    item = lambda w: F.struct(*[w[c].alias(c) for c in ("text", "x", "y", "width", "height", "confidence")], normalize(w["text"]).alias("n"), F.replace(normalize(w["text"]), F.lit(" ")).alias("c"))
-    arrays = [F.transform(s, item) for s in sequences] + [F.transform(F.reverse(F.col(sequences[0])), item)]
+    item = lambda w: F.struct(*[w[c].alias(c) for c in ("text", "x", "y", "width", "height", "confidence")], normalize(w["text"]).alias("n"))
+    order = F.array(*[F.struct(F.transform(s, item).alias("w")) for s in sequences])
     goal = normalize(F.col(target))
-    rows = pages.select(*keys, page, F.struct(goal.alias("n"), F.replace(goal, F.lit(" ")).alias("c")).alias("_t"), F.explode(F.array(*arrays)).alias("_w")).filter("_t.c <> '' and size(_w) > 0")
-    rows = rows.withColumn("_p", F.aggregate("_w", F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.try_element_at(a, F.lit(-1)) + F.length(w["c"])))))
-    size, n = F.length("_t.c"), F.size("_w")
-    low, high, far = F.floor(size * (1 - SLACK)), F.ceil(size * (1 + SLACK)), F.floor(size / CONTAINED_SHARE)
-    length = lambda s, e: F.get("_p", e) - F.get("_p", s)  # noqa: E731  of the words s to e - 1, from 0
-    ends = lambda s: F.filter(F.sequence(s + 1, n), lambda e: (length(s, e) <= F.greatest(high, far)))
-    joined = lambda s, e: F.array_join(F.transform(F.slice("_w", s + 1, e - s), lambda w: w["c"]), "")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(ends(s), lambda e: F.struct(s.alias("s"), e.alias("e"), length(s, e).alias("l"), joined(s, e).alias("c")))))
-    rows = rows.withColumn("_s", F.filter(spans, lambda x: (x["l"] >= low) & (x["l"] <= high) | contained(x["c"], F.col("_t.c"))))
-    # a span that is too long counts only if the shortest too long one from its start holds the target
-    ok = lambda x: (x["l"] <= high) | ~F.exists("_s", lambda y: (y["s"] == x["s"]) & (y["l"] > high) & (y["e"] < x["e"]) & ~contained(y["c"], F.col("_t.c")))
-    one = rows.select(*keys, page, "_t", "_w", F.explode(F.filter("_s", ok)).alias("_s"))
-    words = F.slice("_w", F.col("_s.s") + 1, F.col("_s.e") - F.col("_s.s"))
-    one = one.withColumn("_i", words).withColumn("text", join_hyphens(F.array_join(F.transform("_i", lambda w: w["text"]), " ")))
+    rows = pages.select(*keys, page, F.struct(goal.alias("n"), F.replace(goal, F.lit(" ")).alias("c")).alias("_t"), order.alias("_all")).filter("_t.c <> ''")
+    rows = rows.select(*keys, page, "_t", F.explode(F.concat("_all", F.array(F.struct(F.reverse(F.col("_all")[0]["w"]).alias("w"))))).alias("_o")).select(*keys, page, "_t", F.col("_o.w").alias("_w")).filter("size(_w) > 0")
+
+    def spans(items: pd.Series, breaks: pd.Series, goals: pd.Series) -> pd.Series:
+        return pd.Series([[{"s": s, "e": e} for s, e in anchored_spans(list(i), list(b), g, threshold)] for i, b, g in zip(items, breaks, goals)])
+
+    names, breaks = F.transform("_w", lambda w: F.coalesce(w["n"], F.lit(""))), F.transform("_w", lambda w: F.coalesce(F.regexp_count(w["text"], F.lit(r"-(\s|$)")), F.lit(0)))
+    rows = rows.withColumn("_s", F.explode(F.pandas_udf(spans, "array<struct<s: int, e: int>>")(names, breaks, "_t.n")))
+    one = rows.select(*keys, page, "_t", F.slice("_w", F.col("_s.s") + 1, F.col("_s.e") - F.col("_s.s") + 1).alias("_i"))
+    one = one.withColumn("text", join_hyphens(F.array_join(F.transform("_i", lambda w: w["text"]), " ")))
     one = one.withColumn("_n", normalize(F.col("text"))).withColumn("_x", F.struct(F.col("_n").alias("n"), F.replace("_n", F.lit(" ")).alias("c")))
-    have, want = _tokens(F.array_join(F.transform("_i", lambda w: w["n"]), " ")), _tokens(F.col("_t.n"))
-    common = F.size(F.array_intersect(have, want))
-    is_long = (F.length("_t.c") >= LONG_LENGTH) | (F.size(F.split("_t.n", " ")) >= LONG_TOKENS)
-    gate = contained(F.col("_s.c"), F.col("_t.c")) | F.when(is_long, common >= LONG_RECALL * F.size(want)).otherwise((F.size(F.split("_t.n", " ")) < 2) | (common > 0))
-    scored = one.filter(gate).withColumn("score", F.round(score(F.col("_x"), F.col("_t")), 4)).filter(F.col("score") >= threshold)
+    scored = one.withColumn("score", score(F.col("_x"), F.col("_t"))).filter(F.col("score") >= threshold).withColumn("score", F.round("score", 4))
     edge = lambda f, c: f(F.transform("_i", c))
     left, top = edge(F.array_min, lambda w: w["x"]), edge(F.array_min, lambda w: w["y"])
     seen = F.filter(F.transform("_i", lambda w: w["confidence"]), lambda c: c.isNotNull())

@@ -7,52 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.operators import ranks
 from veriframe.operators.latest import latest_per_key
-
-
-def rank_values(df: DataFrame, keys: Sequence[str], value_col: str, quantiles: dict[str, float]) -> DataFrame:
-    """keys and one column for each quantile: the value of rank ceil(n * q).
-
-    A radix select: equal values are counted before the shuffle, each group's range is cut into BUCKETS buckets, and only the
-    sums of buckets show which bucket holds a rank. Of a group, the sums and the distinct values of that one
-    bucket are gathered, not its values."""
-    v = F.col(value_col).cast("double")
-    counted = df.select(*keys, v.alias("_v")).filter("_v is not null and not isnan(_v)").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    ends = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).cast("long")
-    on = list(keys)
-    join = (lambda a, b: a.join(b.hint("merge"), on)) if on else (lambda a, b: a.join(F.broadcast(b)))  # one row without keys
-    placed = join(counted, ends).withColumn("_b", bucket)
-    sums = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"), F.max("_all").alias("_all"))
-    # at most BUCKETS small structs a group: where each rank's bucket is, and how many values stand before it
-    told = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_s"))).alias("_w"), F.max("_all").alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("b"))
-
-    def find(rank: Column) -> Column:
-        step = lambda a, x: F.when(a["b"].isNotNull(), a).when(a["before"] + x["_s"] >= rank, F.struct(a["before"].alias("before"), x["_b"].alias("b"))).otherwise(F.struct((a["before"] + x["_s"]).alias("before"), a["b"].alias("b")))
-        return F.aggregate("_w", start, step)
-
-    ranks = {n: F.greatest(F.ceil(F.col("_all") * q), F.lit(1)).cast("long") for n, q in quantiles.items()}
-    wanted = told.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("q"), r.alias("rank"), find(r).alias("at")) for n, r in ranks.items()])).alias("_x")).select(*keys, "_x.q", F.col("_x.at.b").alias("_b"), (F.col("_x.rank") - F.col("_x.at.before")).alias("_left"))
-    inside = placed.select(*keys, "_b", "_v", "_n").join(wanted.hint("merge"), [*on, "_b"])
-    # within a bucket the distinct values are few beside the group; each is a value and its count
-    pairs = inside.groupBy(*keys, "q").agg(F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("_w"), F.max("_left").alias("_left"))
-    first = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("double").alias("v"))
-    step = lambda a, x: F.when(a["v"].isNotNull(), a).when(a["before"] + x["_n"] >= F.col("_left"), F.struct(a["before"].alias("before"), x["_v"].alias("v"))).otherwise(F.struct((a["before"] + x["_n"]).alias("before"), a["v"].alias("v")))
-    found = pairs.select(*keys, "q", F.aggregate("_w", first, step)["v"].alias("_v"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == n, F.col("_v"))).alias(n) for n in quantiles])
-
-
-BUCKETS = 4096
+from veriframe.operators.ranks import rank_values
 
 
 def rank_distribution(df: DataFrame, keys: Sequence[str], value_col: str, digits: int = 2) -> DataFrame:
-    """count, min, p50, p95, max, avg of each key, percentiles by nearest rank, over groups of any size."""
-    v = F.col(value_col).cast("double")
-    g = df.filter(v.isNotNull()).groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"))
-    q = rank_values(df, keys, value_col, {"p50": 0.5, "p95": 0.95})
-    j = g.join(q.hint("merge"), list(keys), "left") if keys else g.join(F.broadcast(q), how="left")
-    return j.select(*keys, "count", *[F.round(c, digits).alias(c) for c in ("min", "p50", "p95", "max", "avg")])
+    """count, min, p50, p95, max, avg of each key that has a value, percentiles by nearest rank, over groups of any size."""
+    return ranks.distribution(df, keys, value_col, digits, empty=False)
 
 
 def _long(metric: Column | str, d: DataFrame) -> DataFrame:

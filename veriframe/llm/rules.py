@@ -26,6 +26,11 @@ MARK = np.array([33 <= c <= 126 and not chr(c).isalnum() for c in range(256)])
 MARKS = bytes(np.flatnonzero(MARK).tolist())
 
 
+def mix(ids: np.ndarray) -> np.ndarray:
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of WINDOW words found twice or more. Windows are compared by hashes first, equal hashes by their words."""
     n = len(words) - WINDOW + 1
@@ -33,8 +38,7 @@ def repeated_words(words: list[bytes]) -> int:
         return 0
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
+    mixed = mix(ids)
     h = np.zeros(n, np.uint64)
     for i in range(WINDOW):
         h = h * np.uint64(0xBF58476D1CE4E5B9) + mixed[i : n + i]

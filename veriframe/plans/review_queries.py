@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veriframe.functions import parsers as P
 from veriframe.functions import text as X
 from veriframe.operators import evidence, facts, geometry, joins, latest, lifecycle, matching, queue, reports, review_data
+from veriframe.plans import rules
 from veriframe.plans.queries import query, t
 from veriframe.sources import ingest
 
@@ -425,6 +426,41 @@ def found_spans(spark, d):
     return matching.find(p.withColumn("words", F.transform("w", word)), ["k"], "page", ["words"], "target").select("k", "text", "score", "x", "width", "rank")
 
 
+#: The supplier's name stands for one word of the warning; boxes are a grid of six words to a line, and every fifth word has no confidence.
+_WARNING = rules.WARNING.replace("'", "''")
+
+
+@query(rf"""with p as (select s_suppkey k, list_transform(string_split('{_WARNING}', ' '), lambda x, i: case when i = s_suppkey % 50 + 1 then s_name when x = 'pregnancy' and s_suppkey % 2 = 0 then 'preg- nancy' else x end)[1:case when s_suppkey % 3 = 0 then 30 else 99 end] w from supplier),
+w as (select k, pos i, text, (pos - 1) % 6 * 10 x, (pos - 1) // 6 * 12 y, case when pos % 5 > 0 then 0.5 + pos % 4 * 0.1 end cf from (select k, unnest(string_split(array_to_string(w, ' '), ' ')) text, generate_subscripts(string_split(array_to_string(w, ' '), ' '), 1) pos from p)),
+l as (select k, (i - 1) // 6 + 1 i, string_agg(text, ' ' order by i) text, min(x) x, min(y) y, max(x) + 10 r, avg(cf) cf from w group by 1, 2),
+a as (select k, 0 seq, i, text, x, y, x + 10 r, cf from w union all select k, 1, -i, text, x, y, x + 10, cf from w union all select k, 2, i, text, x, y, r, cf from l),
+n as (select *, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) n from a),
+q as (select k, seq, list(n order by i) n, list(text order by i) t, list(x order by i) x, list(y order by i) y, list(r order by i) r, list(cf order by i) cf from n group by 1, 2),
+g as (select trim(regexp_replace(regexp_replace(lower('{_WARNING}'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) goal), h as (select replace(goal, ' ', '') goal, list_distinct(string_split(goal, ' ')) want from g),
+s as (select *, len(c) > ceil(len(goal) * 1.35) over_, contains(c, goal) and len(goal) >= 0.2 * len(c) sub from (select q.*, s, e, replace(array_to_string(q.n[s:e], ''), ' ', '') c, h.* from q, h, range(1, 80) a(s), range(1, 80) b(e) where s <= e and e <= len(q.n))),
+u as (select * from s qualify e < coalesce(min(case when over_ and not sub then e end) over (partition by k, seq, s), 1000)),
+v as (select *, regexp_replace(array_to_string(t[s:e], ' '), '-\s+', '', 'g') text from u where sub or (len(c) >= floor(len(goal) * 0.65) and len(list_intersect(list_distinct(string_split(array_to_string(n[s:e], ' '), ' ')), want)) >= 0.25 * len(want))),
+z as (select *, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda v: v <> '')) have from v),
+f as (select k, text, case when c = goal then 1.0 when sub then 0.95 else least(2.0 * len(list_intersect(have, want)) / (len(have) + len(want)), 0.94) end score, list_avg(cf[s:e]) cf, list_min(x[s:e]) x, list_min(y[s:e]) y, list_max(r[s:e]) - list_min(x[s:e]) width, list_max(y[s:e]) + 12 - list_min(y[s:e]) height from z),
+d as (select k, text, x, y, width, height, round(max(score), 4)::double score, round(max(cf), 6)::double confidence from f where score >= 0.8 group by all)
+select *, row_number() over (partition by k order by score desc, y, x, width, text) rank from d qualify row_number() over (partition by k order by score desc, y, x, width, text) <= 5""")
+def found_statements(spark, d):
+    """The health warning on labels that print the supplier's name for one of its words, some cut short: words, backward words and lines."""
+    k = c("s_suppkey")
+    words = F.transform(F.split(lit(rules.WARNING), " "), lambda x, i: F.when(i == k % 50, c("s_name")).when((x == "pregnancy") & (k % 2 == 0), "preg- nancy").otherwise(x))
+    words = F.split(F.array_join(F.slice(words, 1, F.when(k % 3 == 0, 30).otherwise(99)), " "), " ")
+    item = lambda x, i: F.struct(x.alias("text"), (i % 6 * 10).alias("x"), (F.floor(i / 6).cast("int") * 12).alias("y"), lit(10).alias("width"), lit(12).alias("height"), F.when((i + 1) % 5 > 0, 0.5 + (i + 1) % 4 * 0.1).alias("confidence"))
+    p = t(spark, d, "supplier").select(k.alias("k"), lit(1).alias("page"), lit(rules.WARNING).alias("target"), words.alias("w")).withColumn("words", F.transform("w", item))
+
+    def line(j):
+        of = F.slice("words", j * 6 + 1, 6)
+        seen = F.filter(F.transform(of, lambda w: w["confidence"]), lambda v: v.isNotNull())
+        return F.struct(F.array_join(F.transform(of, lambda w: w["text"]), " ").alias("text"), lit(0).alias("x"), (j * 12).alias("y"), (F.size(of) * 10).alias("width"), lit(12).alias("height"), (F.aggregate(seen, lit(0.0), lambda a, v: a + v) / F.size(seen)).alias("confidence"))
+
+    p = p.withColumn("lines", F.transform(F.sequence(lit(0), F.floor((F.size("words") - 1) / 6).cast("int")), line))
+    return matching.find(p, ["k"], "page", ["words", "lines"], "target").select("k", "text", "x", "y", "width", "height", "score", F.round("confidence", 6).alias("confidence"), "rank")
+
+
 _FILES = "f as (select o_orderkey k, 'f' || (o_custkey % 40) file, case when o_custkey % 40 = 3 and o_orderkey % 9 = 0 then 'bad' end corrupt from orders), g as (select file from f where corrupt is not null group by 1) "
 
 

@@ -146,7 +146,7 @@ def token_f1(spark, d):
     return a.withColumn("o", joins.token_overlap(F.col("x"), F.col("y"))).select("conv_id", "turn", F.round("o.recall", 6).alias("recall"), F.round("o.f1", 6).alias("f1"))
 
 
-@query(r"""select doc_id, substring(regexp_replace(regexp_replace(regexp_replace(text,'(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+','\1[FILTERED]','g'),'(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)\S+','\1[FILTERED]','g'),'(sk-)[A-Za-z0-9_-]{8,}','\1[FILTERED]','g'),1,500) redacted from documents""")
+@query(r"""select doc_id, substring(regexp_replace(regexp_replace(regexp_replace(text,'sk-[A-Za-z0-9_\-]{8,}','[REDACTED]','g'),'(?i)(api[_-]?key["''=:\s]+)[^"''\s,}]+','\1[REDACTED]','g'),'(?i)(authorization["''=:\s]+bearer\s+)[^"''\s,}]+','\1[REDACTED]','g'),1,500) redacted from documents""")
 def redact_secrets(spark, d):
     return t(spark, d, "documents").select("doc_id", X.redact(F.col("text")).alias("redacted"))
 

@@ -517,7 +517,7 @@ def folded_texts(spark, d):
     return w.select("doc_id", X.normalize(c("a")).alias("normalized"), X.equivalent(c("a"), other).alias("equivalent"), X.equivalent_not_identical(c("a"), other).alias("not_identical"))
 
 
-@query("""with p as (select p_partkey, p_size s, p_size % 6 k from part) select p_partkey, cast(case k when 0 then round(s * 29.5735 + 473.176, 4) when 1 then round(946.353 * (s + 0.5), 4) when 2 then round(s * 10.0, 4) when 3 then round(0.8 * 3785.41, 4) when 4 then null else round(s * 1000.0 + 500, 4) end as double) ml, k in (0, 1, 3) us, k in (2, 5) metric from p""")
+@query("""with p as (select p_partkey, p_size s, p_size % 6 k from part) select p_partkey, cast(case k when 0 then round((s + 16) * 29.5735295625, 4) when 1 then round(32 * 29.5735295625 * (s + 0.5), 4) when 2 then round(s * 10.0, 4) when 3 then round(0.8 * 128 * 29.5735295625, 4) when 4 then null else round(s * 1000.0 + 500, 4) end as double) ml, k in (0, 1, 3) us, k in (2, 5) metric from p""")
 def parsed_volumes(spark, d):
     s, k = c("p_size"), c("p_size") % 6
     n = s.cast("string")
@@ -526,6 +526,22 @@ def parsed_volumes(spark, d):
     return p.select("p_partkey", P.parse_volume(c("v"))["milliliters"].alias("ml"), P.has_unit_system(c("v"), "us").alias("us"), P.has_unit_system(c("v"), "metric").alias("metric"))
 
 
+@query("""select p_partkey, case p_partkey % 5 when 0 then '{"api_key": "[REDACTED]", "name": "' || p_name || '"}' when 1 then 'key ' || p_brand || ' [REDACTED] end' when 2 then 'Authorization: Bearer [REDACTED]' when 3 then 'apikey=[REDACTED], ' || p_type else p_name end redacted from part""")
+def redacted_reports(spark, d):
+    """Error reports with keys in JSON, in headers and bare, of the parts' own names."""
+    key = F.concat(lit("k"), c("p_partkey").cast("string"), lit("-x"))
+    p = t(spark, d, "part").select("p_partkey", _pick((F.concat(lit('{"api_key": "'), key, lit('", "name": "'), c("p_name"), lit('"}')), F.concat(lit("key "), c("p_brand"), lit(" sk-12345678"), key, lit(" end")),
+                                                       F.concat(lit("Authorization: Bearer "), key), F.concat(lit("apikey="), key, lit(", "), c("p_type")), c("p_name")), c("p_partkey") % 5).alias("x"))
+    return p.select("p_partkey", X.redact(c("x"), None).alias("redacted"))
+
+
+@query("""select p_partkey, ['wine', 'wine', 'malt', 'malt', 'spirits', 'spirits', 'wine', 'malt', null, 'spirits'][p_partkey % 10 + 1] commodity from part""")
+def commodities(spark, d):
+    """Classes of a part's type and a name of each kind: a word counts, not a part of one, and malt before wine before spirits."""
+    name = _pick(("Tawny Port", "cream sherry", "Double IPA", "barley wine ale", "Straight Bourbon", "rum", "honey mead", "porter", "ginger portion", "PROPRIETARIES"), c("p_partkey") % 10)
+    return t(spark, d, "part").select("p_partkey", X.commodity_of(F.concat(c("p_type"), lit(" "), name)).alias("commodity"))
+
+
 _P = "p as (select *, p_size s, p_size % 4 k from part) "
 
 

@@ -25,8 +25,11 @@ FILLS = {"wine": [3000, 1500, 1000, 750, 500, 375, 187, 100, 50], "spirits": [17
 CANS, ADDED = [355, 200, 100, 50], [700, 720, 900, 1800]
 EVEN_LITERS = (4000, 17000)
 PART_4_ABV, BOUNDARY, ABV_EPS, ML_EPS = 7.0, 14.0, 0.05, 1.0
-FORMS = [("fluid ounces or fractions of a pint", 0.0, 472.176), ("1 pint", 472.176, 474.176), ("pints and fluid ounces", 474.176, 945.353), ("1 quart", 945.353, 947.353),
-         ("quarts, pints and fluid ounces", 947.353, 3784.412), ("1 gallon", 3784.412, 3786.412), ("gallons", 3786.412, float("inf"))]
+#: Forms of content by size: whole units within ML_EPS of them, and what lies between.
+WHOLE = {"1 pint": 16 * X.FLUID_OUNCE, "1 quart": 32 * X.FLUID_OUNCE, "1 gallon": 128 * X.FLUID_OUNCE}
+BETWEEN = ("fluid ounces or fractions of a pint", "pints and fluid ounces", "quarts, pints and fluid ounces", "gallons")
+EDGES = [0.0, *[x for ml in WHOLE.values() for x in (ml - ML_EPS, ml + ML_EPS)], float("inf")]
+FORMS = [(name, low, high) for name, low, high in zip([n for pair in zip(BETWEEN, [*WHOLE, ""]) for n in pair], EDGES, EDGES[1:])]
 SYSTEM = {"malt": "us", "wine": "metric", "spirits": "metric"}
 MAKERS = ("bottled by", "packed by", "filled by", "distilled by", "blended by", "made by", "prepared by", "manufactured by", "produced by", "brewed by", "vinted by", "cellared by")
 IMPORTERS = ("imported by", "sole agent", "sole u s agent", "imported and bottled by")

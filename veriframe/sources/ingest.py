@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.functions.text import FALSE_WORDS, NUMBER, TRUE_WORDS, presence, strip
+from veriframe.functions.text import FALSE_WORDS, NUMBER, TRUE_WORDS, commodity_of, presence, strip
 
 ROW_ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("message", T.StringType())])
 
@@ -107,14 +107,9 @@ def append_history(df: DataFrame, path: str, day_col: str) -> None:
     df.write.mode("append").partitionBy(day_col).parquet(path)
 
 
-#: Columns of the declared table and of the sample export, and the truth of its classes.
+#: Columns of the declared table and of the sample export.
 REQUIRED = ("serial_number", "beverage_type", "brand_name", "applicant_name_address", "net_contents", "image_filename")
 SAMPLE_REQUIRED = ("filename", "brand_name", "class_type", "bottler_address")
-SAMPLE_CLASSES = (
-    (r"\b(MALT|BEER|ALE|LAGER|PORTER|STOUT|IPA)\b", "malt"),
-    (r"\b(WINE|SAKE|MEAD|CHAMPAGNE|SHERRY|PORT)\b", "wine"),
-    (r"\b(VODKA|WHISKEY|WHISKY|BOURBON|RUM|GIN|TEQUILA|CURACAO|COCKTAILS?|LIQUEURS?|CORDIALS?|BRANDY|DISTILLED|SPIRITS?)\b|PROPRIETAR", "spirits"),
-)
 NET_CONTENTS_SENTINEL = "Not stated on application"
 FLAG_COLUMNS = ("contains_fd_c_yellow_5", "contains_cochineal_carmine", "contains_sulfites_10ppm", "contains_saccharin", "contains_aspartame", "contains_added_coloring")
 
@@ -144,12 +139,7 @@ def err_image_pair(front: str = "image_filename", back: str = "back_image_filena
     return F.coalesce(error(f == b, "invalid_value", f"{back} must be different from {front}"), error(b.isNotNull() & f.rlike(r"(?i)\.pdf$"), "invalid_value", f"{back} cannot accompany PDF artwork"))
 
 
-def sample_commodity(c: Column) -> Column:
-    """malt, wine or spirits of a sample's class, by the first pattern; null if none."""
-    out = F.lit(None).cast("string")
-    for pattern, kind in reversed(SAMPLE_CLASSES):
-        out = F.when(F.upper(c).rlike(pattern), kind).otherwise(out)
-    return out
+sample_commodity = commodity_of
 
 
 def err_sample_row() -> Column:

@@ -93,7 +93,7 @@ def test_html_classes_by_brute_force(spark):
         rows.append((i, f"http://h{i % 3}.example/", f"<body><ul>{items}</ul><div class=x><p>text {i}</p>{'<hr>' * (i % 2)}</div><p>end</p></body>"))
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
     for r in html.templates(df).collect():
-        mine = [html.signature(*html.parse(doc)) for i, u, doc in rows if r.host in u]
+        mine = [html.signature(*html.parse(doc)[:2]) for i, u, doc in rows if r.host in u]
         longest = [max((x.text for x in html.parse(doc)[1]), key=len) for i, u, doc in rows if r.host in u]
         vectors = {}
         for key in {k for m in mine for k in m}:
@@ -580,3 +580,23 @@ def test_bm25_scores_by_the_formula():
         got = index.neighbours(seed, np.zeros(len(texts), bool), 65536, len(texts))
         want = sorted((k for k in range(len(texts)) if k != seed and plain(seed, k) > 0), key=lambda k: (-round(plain(seed, k), 9), k))
         assert got == want
+
+
+def test_html_deep_pages(spark):
+    """A page of unclosed blocks takes time and memory in proportion to its length, with a template and without."""
+    import resource
+    import time
+
+    def page(i, depth):
+        return f"<body><div class=top>menu of all pages</div><div class=main><p>the text of page {i} and more of it</p></div>" + "<div class=a>x" * depth
+
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text, _ = html.main_text(page(1, 100_000), None)
+    assert time.time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000 and "the text of page 1" in text
+    df = spark.createDataFrame([(i, "http://deep.example/", page(i, 5_000)) for i in range(5)], "page_id long, url string, html string")
+    out = html.extract(df).collect()
+    assert len(out) == 5 and all(r.template_tokens > 5_000 and f"page {r.page_id}" in r.text for r in out)
+    for stray in ("</section>", "</b>", "<li>", "</p>"):
+        began = time.time()
+        html.main_text("<div>" * 50_000 + stray * 50_000 + "y", None)
+        assert time.time() - began < 10

@@ -12,9 +12,9 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from os.path import commonprefix
 
 import pandas as pd
 import xxhash
@@ -55,11 +55,42 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+ROOT = 0
+
+
+class Node:
+    """A container's place in a page's tree; elements of one parent with equal tag, class and id are one place. Its key is a chain of hashes, so that no path is written out."""
+
+    __slots__ = ("parent", "tag", "at", "depth", "key", "bare")
+
+    def __init__(self, parent: Node | None, tag: str, part: str, at: int):
+        self.parent, self.tag, self.at = parent, tag, at
+        self.depth = parent.depth + 1 if parent else 0
+        self.key = _key(str(parent.key), part) if parent else ROOT
+        self.bare = _key(str(parent.bare), tag) if parent else ROOT
+
+
+def summed(nodes: list[Node], values: list) -> list:
+    """values of nodes (in the order of their making) with those of all nodes inside them."""
+    values = list(values)
+    for node in reversed(nodes[1:]):
+        values[node.parent.at] += values[node.at]
+    return values
+
+
+def within(nodes: list[Node], marked: set[int]) -> list[bool]:
+    """Whether each node is one of the marked keys, or inside one."""
+    out = [False] * len(nodes)
+    for node in nodes:
+        out[node.at] = node.key in marked or node.parent is not None and out[node.parent.at]
+    return out
+
+
 @dataclass
 class Run:
-    """A run of text: the path around it, whether names mark it as an aside or as a head outside an article, whether it is in an article, its share of links."""
+    """A run of text: the place around it, whether names mark it as an aside or as a head outside an article, whether it is in an article, its share of links."""
 
-    path: str
+    node: Node
     text: str
     aside: bool
     head: bool
@@ -67,12 +98,15 @@ class Run:
     links: float
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, str]], list[Run]]:
-    """(tokens, runs): tokens (path, name) in page order, '' names a run.
+def parse(page: str | None) -> tuple[list[tuple[Node, str]], list[Run], list[Node]]:
+    """(tokens, runs, nodes): tokens (node, name) in page order, '' names a run; nodes in the order of their making.
 
-    Broken markup is read as browsers do: unclosed elements end with their parent, stray ends are passed over."""
+    Broken markup is read as browsers do: unclosed elements end with their parent, stray ends are passed over. Time and memory grow with the page's length, however deep it is."""
     text, at, tokens, runs = page or "", 0, [], []
-    stack: list[tuple] = [("", "", False, False, False, False)]  # tag, path, aside, head, in an article, in a link
+    nodes = [Node(None, "", "", 0)]
+    places: dict[tuple[int, str], Node] = {}
+    stack: list[tuple] = [("", nodes[0], False, False, False, False)]  # tag, node, aside, head, in an article, in a link
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     linked = 0
 
@@ -82,11 +116,15 @@ def parse(page: str | None) -> tuple[list[tuple[str, str]], list[Run]]:
         run = " ".join(html.unescape(raw).split())
         buffer.clear()
         if run:
-            _, path, aside, head, main, _ = stack[-1]
-            tokens.append((path, ""))
-            runs.append(Run(path, run, aside, head, main, linked / len(raw)))
+            _, node, aside, head, main, _ = stack[-1]
+            tokens.append((node, ""))
+            runs.append(Run(node, run, aside, head, main, linked / len(raw)))
         linked = 0
 
+    def close(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     while m := TOKEN.search(text, at):
         if m.start() > at:
             buffer.append(text[at : m.start()])
@@ -101,24 +139,24 @@ def parse(page: str | None) -> tuple[list[tuple[str, str]], list[Run]]:
         if tag not in INLINE:
             flush()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if tag in INLINE and stack[k][2] != stack[-1][2]:
                         flush()
                     tokens.append((stack[k][1], "/" + tag))
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] not in TEXTUAL and tag in TEXTUAL:
                     break  # an end of p or b does not close the element around it
             continue
         closes = CLOSES.get(tag, ()) or ({"p"} if tag in ENDS_P else ())
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in closes) else ():
             if stack[k][0] in closes:
-                del stack[k:]
+                close(k)
                 break
             if stack[k][0] not in TEXTUAL or stack[k][0] in ("table", "ul", "ol", "dl"):
                 break
-        _, path, aside, head, main, link = stack[-1]
+        _, node, aside, head, main, link = stack[-1]
         names, attrs = "", m["attrs"]
         if attrs:
             for a in ATTR.finditer(attrs):
@@ -138,20 +176,25 @@ def parse(page: str | None) -> tuple[list[tuple[str, str]], list[Run]]:
         main |= tag in MAIN
         link |= tag == "a"
         if tag not in TEXTUAL:
-            path = f"{path}/{tag}{names}"
+            place = (node.at, tag + names)
+            if place not in places:
+                places[place] = Node(node, tag, tag + names, len(nodes))
+                nodes.append(places[place])
+            node = places[place]
         if tag in INLINE and aside and not stack[-1][2]:
             flush()
-        tokens.append((path, tag))
+        tokens.append((node, tag))
         if tag in RAW_END:
             end = RAW_END[tag].search(text, at)
             at = end.end() if end else len(text)
         elif tag not in VOID and not attrs.endswith("/"):
-            stack.append((tag, path, aside, head, main, link))
+            stack.append((tag, node, aside, head, main, link))
+            opened[tag] += 1
     if at < len(text):
         buffer.append(text[at:])
         linked += stack[-1][5] * (len(text) - at)
     flush()
-    return tokens, runs
+    return tokens, runs, nodes
 
 
 def _key(*parts: str) -> int:
@@ -159,25 +202,18 @@ def _key(*parts: str) -> int:
 
 
 @functools.lru_cache(200_000)
-def tag_key(path: str, name: str) -> int:
-    return _key(path, name)
+def tag_key(node_key: int, name: str) -> int:
+    return _key(str(node_key), name)
 
 
 def run_key(run: Run) -> int:
-    return _key(run.path, "", run.text)
-
-
-@functools.lru_cache(100_000)
-def around(path: str) -> tuple[str, ...]:
-    """path and all paths around it, the outermost first."""
-    parts = path.split("/")
-    return tuple("/".join(parts[: k + 1]) for k in range(len(parts)))
+    return _key(str(run.node.key), "", run.text)
 
 
-def signature(tokens: list[tuple[str, str]], runs: list[Run]) -> list[int]:
+def signature(tokens: list[tuple[Node, str]], runs: list[Run]) -> list[int]:
     """Keys of all tokens in page order."""
     left = iter(runs)
-    return [tag_key(path, name) if name else run_key(next(left)) for path, name in tokens]
+    return [tag_key(node.key, name) if name else run_key(next(left)) for node, name in tokens]
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -186,47 +222,47 @@ def templates(pages: DataFrame) -> DataFrame:
     A token's occurrence vector is known by the sum of a hash of page and count, which tasks add up before the shuffle, so
     a host of any size needs no task of its own. Tokens of one vector are one class. For a run of text, the pages are also
     marked by their longest run, as the different ones among them count."""
-    columns = ["pages", "vector", "occurs", "place", "chars", "links"]
+    columns, where = ["pages", "vector", "occurs", "place", "chars", "links"], ["up", "start", "depth"]  # where: the container around, a container's start tag, and how deep it is
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: dict[tuple, list] = {}
 
-            def add(h: str, kind: int, key: int, name: str, mark: int, *more: int) -> None:
-                s = seen.setdefault((h, kind, key), [name, 0, *[0] * len(columns)])
-                s[1] |= mark
-                for k, x in enumerate(more, 2):
+            def add(h: str, kind: int, key: int, place: tuple[int, int, int], mark: int, *more: int) -> None:
+                s = seen.setdefault((h, kind, key), [*place, 0, *[0] * len(columns)])
+                s[3] |= mark
+                for k, x in enumerate(more, 4):
                     s[k] += x
 
             for page, h, doc in zip(pdf["page_id"], pdf["host"], pdf["html"]):
-                tokens, runs = parse(doc)
+                tokens, runs, nodes = parse(doc)
                 longest = max((r.text for r in runs if not r.aside), key=len, default="")
                 mark = 1 << xxhash.xxh32_intdigest(longest) % 63
                 count: dict[tuple, list[int]] = {}
                 left = iter(runs)
-                for k, (path, name) in enumerate(tokens):
+                for k, (node, name) in enumerate(tokens):
                     r = None if name else next(left)
-                    c = count.setdefault((TAG, tag_key(path, name), "") if name else (RUN, run_key(r), path), [0, k, 0 if name or r.aside else len(r.text)])
+                    c = count.setdefault((TAG, tag_key(node.key, name), ROOT) if name else (RUN, run_key(r), node.key), [0, k, 0 if name or r.aside else len(r.text)])
                     c[0] += 1
-                for (kind, key, path), (n, k, chars) in count.items():
-                    add(h, kind, key, path, mark, 1, xxhash.xxh32_intdigest(f"{page}:{n}"), n, k, n * chars, 0)
-                mass: dict[str, list[float]] = {}
+                for (kind, key, up), (n, k, chars) in count.items():
+                    add(h, kind, key, (up, 0, 0), mark, 1, xxhash.xxh32_intdigest(f"{page}:{n}"), n, k, n * chars, 0)
+                chars, links, some = ([0] * len(nodes) for _ in range(3))
                 for r in runs:
-                    for path in around(r.path):
-                        m = mass.setdefault(path, [0, 0.0])
-                        m[0] += 0 if r.aside else len(r.text)
-                        m[1] += 0 if r.aside else r.links * len(r.text)
-                for path, (chars, links) in mass.items():
-                    add(h, CONTAINER, tag_key(path, ""), path, mark, 1, 0, 0, 0, chars, round(links))
-                add(h, TAG, 0, "", mark, 1, 0, 0, 0, 0, 0)
-            yield pd.DataFrame([(*k, *s) for k, s in seen.items()], columns=["host", "kind", "token", "name", "marks", *columns])
-
-    tokens = pages.mapInPandas(run, "host string, kind int, token long, name string, marks long, " + ", ".join(f"{c} long" for c in columns))
-    tokens = tokens.groupBy("host", "kind", "token").agg(F.min("name").alias("name"), F.bit_or("marks").alias("marks"), *[F.sum(c).alias(c) for c in columns])
+                    some[r.node.at] += 1
+                    chars[r.node.at] += 0 if r.aside else len(r.text)
+                    links[r.node.at] += 0 if r.aside else r.links * len(r.text)
+                for node, n, c, x in zip(nodes, summed(nodes, some), summed(nodes, chars), summed(nodes, links)):
+                    if n:
+                        add(h, CONTAINER, node.key, (node.parent.key if node.parent else ROOT, tag_key(node.key, node.tag), node.depth), mark, 1, 0, 0, 0, c, round(x))
+                add(h, TAG, 0, (ROOT, 0, 0), mark, 1, 0, 0, 0, 0, 0)
+            yield pd.DataFrame([(*k, *s) for k, s in seen.items()], columns=["host", "kind", "token", *where, "marks", *columns])
+
+    tokens = pages.mapInPandas(run, "host string, kind int, token long, " + ", ".join(f"{c} long" for c in [*where, "marks", *columns]))
+    tokens = tokens.groupBy("host", "kind", "token").agg(*[F.min(c).alias(c) for c in where], F.bit_or("marks").alias("marks"), *[F.sum(c).alias(c) for c in columns])
     tokens = materialize(tokens.filter(f"pages >= {LEAST_PAGES} * {SUPPORT}"))
-    size = materialize(tokens.filter("token = 0").selectExpr("host", "pages host_pages"))
-    often = tokens.filter("token <> 0").join(size.hint("merge"), "host").filter(f"host_pages >= {LEAST_PAGES} and pages >= {SUPPORT} * host_pages and (kind <> {RUN} or bit_count(marks) >= {LEAST_PAGES})")
-    token = F.struct("kind", "token", F.xxhash64("vector", "pages", "occurs").alias("cls"), (F.col("place") / F.col("pages")).alias("place"), "name", "chars", "links")
+    size = materialize(tokens.filter(f"kind = {TAG} and token = 0").selectExpr("host", "pages host_pages"))
+    often = tokens.filter(f"kind <> {TAG} or token <> 0").join(size.hint("merge"), "host").filter(f"host_pages >= {LEAST_PAGES} and pages >= {SUPPORT} * host_pages and (kind <> {RUN} or bit_count(marks) >= {LEAST_PAGES})")
+    token = F.struct("kind", "token", F.xxhash64("vector", "pages", "occurs").alias("cls"), (F.col("place") / F.col("pages")).alias("place"), *where, "chars", "links")
     often = materialize(often.select("host", token.alias("t")))  # what is left of a host is bounded by its pages' length
     found = materialize(often.groupBy("host").agg(F.sort_array(F.collect_list("t")).alias("template")))
     discard(tokens, size, often)
@@ -256,25 +292,44 @@ class Template:
         self.nested = nest(template)
         self.places = {t["token"]: t["place"] for t in template if t["kind"] != CONTAINER}
         self.texts = {t["token"] for t in template if t["kind"] == RUN}
-        self.mass = {t["name"]: [t["chars"], t["links"]] for t in template if t["kind"] == CONTAINER}
+        boxes = sorted((t for t in template if t["kind"] == CONTAINER), key=lambda t: (t["depth"], t["token"]))
+        fixed: dict[int, int] = {}  # characters of template text, which is no slot
         for t in template:
-            if t["kind"] == RUN:  # template text is no slot
-                for path in around(t["name"]):
-                    if path in self.mass:
-                        self.mass[path][0] -= t["chars"]
-        self.content = self._content()
-        self.menus = {p for p, (chars, links) in self.mass.items() if p.startswith(self.content + "/") and links > LINKS * max(chars, 1)}
-
-    def _content(self) -> str:
-        """The innermost container between template tokens that holds CONTENT of the slots' text, other than links, of the one around it."""
-        held = {p: chars - links for p, (chars, links) in self.mass.items() if p and tag_key(p, p.rsplit("/", 1)[1].split(".")[0]) in self.nested}
-        now, text = "", max([self.mass.get("", [0, 0])[0] - self.mass.get("", [0, 0])[1], 0])
-        while inside := [p for p in held if p.startswith(now + "/")]:
-            best = max(inside, key=lambda p: (held[p], -len(p), p))
-            if held[best] <= 0 or held[best] < CONTENT * text:
+            if t["kind"] == RUN:
+                fixed[t["up"]] = fixed.get(t["up"], 0) + t["chars"]
+        for t in reversed(boxes):
+            if t["token"] != ROOT and t["token"] in fixed:
+                fixed[t["up"]] = fixed.get(t["up"], 0) + fixed[t["token"]]
+        self.mass = {t["token"]: (t["chars"] - fixed.get(t["token"], 0), t["links"]) for t in boxes}
+        self.content, self.start = self._content(boxes)
+        inside, self.menus = {self.content}, set()
+        for t in boxes:
+            if t["token"] != ROOT and t["up"] in inside:
+                inside.add(t["token"])
+                chars, links = self.mass[t["token"]]
+                if links > LINKS * max(chars, 1):
+                    self.menus.add(t["token"])
+
+    def _content(self, boxes: list) -> tuple[int, int]:
+        """The innermost container between template tokens that holds CONTENT of the slots' text, other than links, of the one around it, and its start tag.
+
+        A container holds no more than one around it, so each step looks at the next candidates inside alone."""
+        held = {t["token"]: self.mass[t["token"]][0] - self.mass[t["token"]][1] for t in boxes if t["token"] != ROOT and t["start"] in self.nested}
+        around, inside = {ROOT: ROOT}, {}  # the candidate around each container, and the candidates next inside each
+        for t in boxes:
+            if t["token"] != ROOT:
+                outer = around.get(t["up"], ROOT)
+                around[t["token"]] = t["token"] if t["token"] in held else outer
+                if t["token"] in held:
+                    inside.setdefault(outer, []).append(t)
+        chars, links = self.mass.get(ROOT, (0, 0))
+        now, start, text = ROOT, 0, max(chars - links, 0)
+        while now in inside:
+            best = max(inside[now], key=lambda t: (held[t["token"]], -t["depth"], t["token"]))
+            if held[best["token"]] <= 0 or held[best["token"]] < CONTENT * text:
                 break
-            now, text = best, held[best]
-        return now
+            now, start, text = best["token"], best["start"], held[best["token"]]
+        return now, start
 
     def valid(self, keys: list[int]) -> set[int]:
         """Tokens of the classes that are valid on a page: where a class's tokens occur once, they come in the template's order."""
@@ -291,7 +346,7 @@ def main_text(page: str | None, template: Template | None) -> tuple[str, int]:
 
     Without template, or where the page has not that container, the runs of its article; without one, those in the smallest
     common ancestor of the path with most text, its likes without class and id, and all paths with long runs."""
-    tokens, runs = parse(page)
+    tokens, runs, nodes = parse(page)
     used = 0
     slots = runs
     if template:
@@ -299,26 +354,26 @@ def main_text(page: str | None, template: Template | None) -> tuple[str, int]:
         fixed = template.valid(keys)
         used = sum(k in fixed for k in keys)
         slots = [r for r in runs if run_key(r) not in template.texts] if template.texts else runs
-        home = template.content
-        start = tag_key(home, home.rsplit("/", 1)[-1].split(".")[0]) if home else None
-        if start in fixed and start in keys:
-            inside = [r for r in slots if not r.aside and (r.path == home or r.path.startswith(home + "/"))]
-            return " ".join(r.text for r in inside if template.menus.isdisjoint(around(r.path))), used
+        if template.content != ROOT and template.start in fixed and template.start in keys:
+            home, menus = within(nodes, {template.content}), within(nodes, template.menus)
+            return " ".join(r.text for r in slots if not r.aside and home[r.node.at] and not menus[r.node.at]), used
     plain = [r for r in slots if not r.aside and not r.head]
     if not plain and slots is not runs:
         slots = runs
         plain = [r for r in slots if not r.aside and not r.head]
     kept = [r for r in plain if r.main]
     if not kept and not any(r.main for r in slots):
-        mass: dict[str, int] = {}
+        mass: dict[int, int] = {}
         for r in plain:
-            mass[r.path] = mass.get(r.path, 0) + len(r.text)
+            mass[r.node.at] = mass.get(r.node.at, 0) + len(r.text)
         if mass:
-            best = max(mass, key=lambda p: (mass[p], p))
-            bare = lambda p: re.sub(r"\.[^/]*", "", p)
-            long = {r.path for r in plain if r.text.count(" ") >= LONG_RUN}
-            home = commonprefix([p.split("/") for p in mass if p == best or p in long or bare(p) == bare(best)])
-            kept = [r for r in plain if r.path.split("/")[: len(home)] == home]
+            best = nodes[max(mass, key=lambda at: (mass[at], at))]
+            long = {r.node.at for r in plain if r.text.count(" ") >= LONG_RUN}
+            chosen = [at == best.at or at in long or (at in mass and nodes[at].bare == best.bare) for at in range(len(nodes))]
+            share = summed(nodes, [int(x) for x in chosen])
+            home = max((n for n in nodes if share[n.at] == share[0]), key=lambda n: n.depth)  # the smallest ancestor of all
+            inside = within(nodes, {home.key})
+            kept = [r for r in plain if inside[r.node.at]]
     return " ".join(r.text for r in kept), used
 
 

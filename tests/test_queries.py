@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from veriframe.plans import review_queries  # noqa: F401
+from veriframe.plans import review_queries, rule_queries  # noqa: F401
 from veriframe.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"

@@ -81,6 +81,12 @@ def normalize(c: Column) -> Column:
     return _fold(unaccent(c))
 
 
+def normalized(text: str) -> str:
+    """normalize of a constant."""
+    plain = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).lower()
+    return " ".join("".join(" " if unicodedata.category(x).startswith("P") or x in "$+<=>^`|~" else x for x in plain).split())
+
+
 def normalize_ascii(c: Column) -> Column:
     """normalize for columns known to be ASCII, without Python."""
     return _fold(c)

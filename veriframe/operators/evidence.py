@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +16,33 @@ def clean_words(words: DataFrame) -> DataFrame:
     return words.filter(ok).withColumn("confidence", F.when(F.col("confidence") >= 0, F.col("confidence")))
 
 
+def line_numbers(y: list, height: list, share: float) -> list[int]:
+    """The line of each word, in reading order: a word joins the line whose box centre is within share of the taller height, and the line's box grows by it."""
+    out, line, top, bottom = [], -1, 0.0, 0.0
+    for t, h in zip(y, height):
+        if line < 0 or abs((top + bottom) / 2 - (t + h / 2)) > share * max(h, bottom - top):
+            line, top, bottom = line + 1, t, t + h
+        else:
+            top, bottom = min(top, t), max(bottom, t + h)
+        out.append(line)
+    return out
+
+
 def build_lines(words: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
-    """Lines of each page: words in reading order (y, x) join the line whose box centre is within share of the taller height.
-
-    A page is one array, folded in order, as the line's box grows with each word; pages are bounded by what one sheet holds."""
-    word = F.struct("y", "x", "width", "height", "text")
-    pages = words.groupBy(*keys).agg(F.sort_array(F.collect_list(word)).alias("w"))
-    kind = "array<struct<text:string,x:long,y:long,r:long,b:long>>"
-    empty = F.array().cast(kind)
-
-    def step(lines: Column, w: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        new = F.struct(w["text"].alias("text"), w["x"].cast("long").alias("x"), w["y"].cast("long").alias("y"), (w["x"] + w["width"]).cast("long").alias("r"), (w["y"] + w["height"]).cast("long").alias("b"))
-        tall = F.greatest(w["height"], last["b"] - last["y"])
-        near = F.abs((last["y"] + last["b"]) / 2 - (w["y"] + w["height"] / 2)) <= share * tall
-        grown = F.struct(F.concat_ws(" ", last["text"], w["text"]).alias("text"), F.least(last["x"], new["x"]).alias("x"), F.least(last["y"], new["y"]).alias("y"), F.greatest(last["r"], new["r"]).alias("r"), F.greatest(last["b"], new["b"]).alias("b"))
-        return F.when((F.size(lines) > 0) & near, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(lines, F.array(new)))
-
-    return pages.select(*keys, F.posexplode(F.aggregate("w", empty, step)).alias("line", "l")).selectExpr(*keys, "line", "l.text", "l.x", "l.y", "l.r - l.x width", "l.b - l.y height")
+    """(keys, line, text, x, y, width, height): lines of each page of words in reading order (y, x).
+
+    Which line a word is in depends on all before it, so a page is one array, gone through once in Arrow batches; lines are put together by Spark. Pages are bounded by what one sheet holds."""
+    pages = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "width", "height", "text"))).alias("w"))
+
+    def numbers(tops: pd.Series, heights: pd.Series) -> pd.Series:
+        return pd.Series([line_numbers(t, h, share) for t, h in zip(tops, heights)])
+
+    field = lambda c: F.transform("w", lambda w: w[c].cast("double"))
+    pages = pages.withColumn("n", F.pandas_udf(numbers, "array<int>")(field("y"), field("height")))
+    each = pages.select(*keys, F.posexplode(F.arrays_zip("w", "n")).alias("at", "z")).select(*keys, "at", F.col("z.n").alias("line"), "z.w.*")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ")
+    left, top = F.min("x").cast("long"), F.min("y").cast("long")
+    return each.groupBy(*keys, "line").agg(text.alias("text"), left.alias("x"), top.alias("y"), (F.max(F.col("x") + F.col("width")).cast("long") - left).alias("width"), (F.max(F.col("y") + F.col("height")).cast("long") - top).alias("height"))
 
 
 def score_span(span: Column, target: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.functions.text import basename, token_bounded
+from veriframe.tables import materialize
 
 
 def reconcile(rows: DataFrame, row_key: str, files: DataFrame, file_key: str) -> DataFrame:
@@ -50,6 +51,40 @@ def vocab_lookup(df: DataFrame, text: Column, vocabulary: Sequence[str]) -> Data
     return df.withColumn("entry", best["name"]).withColumn("tier", best["tier"])
 
 
+#: Postings of one token that meet a name in one task; more are dealt out by row, and the name is sent along.
+MOST_POSTINGS, HOT_TOKENS = 200_000, 1000
+
+
+def vocab_join(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, name: str = "name", place: str = "place") -> DataFrame:
+    """(key, entry, tier, place): the best entry of a vocabulary of any size for each row that has one: equal before contained between token borders, then the least place.
+
+    Texts and names are normalised, their tokens parted by one space; key is unique. A name is looked for only where its rarest token stands (in the fewest texts), and of a
+    text only the tokens around that place travel, as many as the longest name has. A token of very many texts is split by rows, with its names sent to each part; there are at most
+    HOT_TOKENS of these. Null and empty texts and names match nothing."""
+    names = vocabulary.filter(F.col(name) != "").groupBy(F.col(name).alias("_name")).agg(F.min(place).alias("_place")).withColumn("_tokens", F.split("_name", " "))
+    longest = names.agg(F.max(F.size("_tokens"))).first()[0] or 0
+    tokens = rows.select(F.col(key).alias("_key"), F.split(text, " ").alias("_all")).filter(F.col(text) != "")
+    if not longest:
+        return rows.select(key, F.lit(None).cast("string").alias("entry"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast(vocabulary.schema[place].dataType).alias("place")).limit(0)
+    parts = names.select("_name", "_place", F.explode(F.array_distinct("_tokens")).alias("_token"))
+    often = tokens.select(F.explode(F.array_distinct("_all")).alias("_token")).groupBy("_token").agg(F.count("*").alias("_n"))
+    # a name with a token that no text has is found nowhere, so the join leaves it out where it must
+    whole = names.select("_name", F.size(F.array_distinct("_tokens")).alias("_parts"))
+    met = parts.join(often.hint("merge"), "_token").groupBy("_name").agg(F.min("_place").alias("_place"), F.min(F.struct("_n", "_token")).alias("_r"), F.count("*").alias("_met"))
+    met = met.join(whole.hint("merge"), "_name").filter("_met = _parts")
+    blocks = materialize(met.select("_name", "_place", F.col("_r._token").alias("_token"), F.col("_r._n").alias("_n")))
+    least = max(MOST_POSTINGS, (blocks.select("_token", "_n").distinct().agg(F.sum("_n")).first()[0] or 0) / HOT_TOKENS)
+    hot = blocks.filter(F.col("_n") > least).select("_token", F.ceil(F.col("_n") / least).cast("int").alias("_splits")).distinct()
+    around = F.array_join(F.slice("_all", F.greatest(F.col("_at") + 1 - longest, F.lit(0)) + 1, F.col("_at") + longest - F.greatest(F.col("_at") + 1 - longest, F.lit(0))), " ")
+    at = tokens.select("_key", "_all", F.posexplode("_all").alias("_at", "_token")).select("_key", "_token", around.alias("_window"), F.size("_all").alias("_size"))
+    at = at.join(F.broadcast(hot), "_token", "left").withColumn("_part", F.pmod(F.xxhash64("_key"), F.coalesce("_splits", F.lit(1))).cast("int")).drop("_splits")
+    asked = blocks.join(F.broadcast(hot), "_token", "left").select("_token", "_name", "_place", F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)).alias("_part"))
+    hit = at.join(asked.hint("merge"), ["_token", "_part"]).filter(token_bounded(F.col("_window"), F.col("_name")))
+    tier = F.when((F.col("_window") == F.col("_name")) & (F.col("_size") == F.size(F.split("_name", " "))), 1).otherwise(2)
+    best = hit.groupBy("_key").agg(F.min(F.struct(tier.alias("tier"), "_place", "_name")).alias("_b"))
+    return best.select(F.col("_key").alias(key), F.col("_b._name").alias("entry"), "_b.tier", F.col("_b._place").alias("place"))
+
+
 def overlaps(a_low: Column, a_high: Column, b_low: Column, b_high: Column, eps: float = 0.0) -> Column:
     return (a_low <= b_high + eps) & (b_low <= a_high + eps)
 

@@ -1,6 +1,6 @@
 """The catalogue of class and type designations: entries as a table, its checking, and look-up by column expressions.
 
-The entries below are shipped; places that are designations of one foreign wine only are not among them, and any
+The entries below are shipped, any
 other catalogue is a table of the same columns (load). A checked catalogue has a bounded number of entries and becomes
 a literal of the plan, so looking texts up joins and shuffles nothing."""
 
@@ -49,9 +49,26 @@ WINE = [
                "reciotto wine", "aperitif wine", "vermouth", "cider", "apple wine", "perry", "pear wine", "mead", "honey wine", "sake", "rice wine", "raisin wine", "muscadine", "muscat", "moscato",
                "muscatel", "light muscatel", "scuppernong"]},
     {"names": ["champagne"],
-     "produced_in": "France"},
-    {"names": ["burgundy", "chablis", "chianti", "claret", "malaga", "marsala", "moselle", "rhine wine", "hock", "sauterne", "haut sauterne", "tokay", "sherry", "light sherry", "madeira", "light madeira",
+     "kind": "semi_generic", "produced_in": "France"},
+    {"kind": "semi_generic", "names": ["burgundy", "chablis", "chianti", "claret", "malaga", "marsala", "moselle", "rhine wine", "hock", "sauterne", "haut sauterne", "tokay", "sherry", "light sherry", "madeira", "light madeira",
                "port", "light port", "angelica", "light angelica", "retsina"]},
+    {"kind": "foreign_nongeneric", "produced_in": "France", "qualifier": "The name of one French wine",
+     "names": ["aloxe corton", "alsace", "vin d alsace", "anjou", "barsac", "batard montrachet", "beaujolais", "beaujolais villages", "beaune", "bonnes mares", "bordeaux", "bordeaux blanc", "bordeaux rouge", "bourgogne", "brouilly", "chambertin",
+               "chambolle musigny", "charmes chambertin", "chassagne montrachet", "chateau lafite", "chateau margaux", "chateau yquem", "chateauneuf du pape", "chenas", "chevalier montrachet", "chiroubles", "clos de la roche", "clos de vougeot",
+               "corton", "corton charlemagne", "cote de beaune", "cote de beaune villages", "cote de brouilly", "cote de nuits", "cote de nuits villages", "cote rotie", "coteaux du layon", "cotes du rhone", "echezeaux", "entre deux mers", "fleurie",
+               "gevrey chambertin", "grands echezeaux", "graves", "haut medoc", "hermitage", "la tache", "loire", "macon", "margaux", "medoc", "mercurey", "meursault", "montrachet", "morgon", "moulin a vent", "muscadet", "musigny", "nuits",
+               "nuits saint georges", "pauillac", "pomerol", "pommard", "pouilly fuisse", "pouilly fume", "puligny montrachet", "rhone", "richebourg", "romanee conti", "romanee saint vivant", "rose d anjou", "saint amour", "saint emilion",
+               "saint estephe", "saint julien", "sancerre", "santenay", "saumur", "savigny", "savigny les beaunes", "tavel", "touraine", "volnay", "vosne romanee", "vouvray"]},
+    {"kind": "foreign_nongeneric", "produced_in": "Italy", "qualifier": "The name of one Italian wine",
+     "names": ["asti spumante", "barbaresco", "barbera d alba", "barbera d asti", "bardolino", "barolo", "brunello di montalcino", "dolcetto d alba", "frascati", "gattinara", "lacryma christi", "nebbiolo d alba", "orvieto", "soave", "valpolicella",
+               "vino nobile de montepulciano"]},
+    {"kind": "foreign_nongeneric", "produced_in": "Germany", "qualifier": "The name of one German wine",
+     "names": ["bernkasteler doctor", "bernkasteler doktor", "deidesheimer", "dexheimer doktor", "erbacher marcobrunn", "forster", "forster jesuitengarten", "graacher himmelreich", "liebfraumilch", "liebfrauenmilch", "mosel", "mosel saar ruwer",
+               "ockfener bockstein", "piesporter goldtropfchen", "piesporter michelsberg", "piesporter treppchen", "rudesheimer", "scharzhofberger", "schloss johannisberger", "schloss vollrads", "wehlener sonnenuhr", "zeller schwarze katz"]},
+    {"kind": "foreign_nongeneric", "produced_in": "Portugal", "qualifier": "The name of one Portuguese wine",
+     "names": ["dao", "oporto", "porto", "vinho do porto"]},
+    {"kind": "foreign_nongeneric", "produced_in": "Spain", "qualifier": "The name of one Spanish wine",
+     "names": ["lagrima", "rioja"]},
     {"names": ["substandard wine", "other than standard wine", "imitation wine"],
      "sufficient": "false", "composition": "The class or type that it would be must be named"},
     {"names": ["wine specialty"],

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriframe import tables
 from veriframe.functions import parsers as P
 from veriframe.functions import text as X
 from veriframe.operators import evidence, external, grounding, joins, latest, lifecycle, roles
 from veriframe.plans import catalogue
 from veriframe.sources import forms, ingest
-from veriframe.streaming import progress
+from veriframe.streaming import progress, stages
 
 QUERIES, SQL = {}, {}
 
@@ -233,24 +234,70 @@ def page_fields(spark, d):
     return t(spark, d, "pages").select("page_id", F.regexp_extract("html", '(?i)<html[^>]*lang="([a-z]+)"', 1).alias("lang"), F.regexp_count("html", F.lit("<li>")).alias("items"))
 
 
-@query("select event_type, count(*) n from events group by 1")
-def stream_progress(spark, d):
-    """The running counts of a file stream once all files are read."""
-    events = t(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parque[t]")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
+def _stream_of(spark, df: DataFrame) -> DataFrame:
+    """A stream of a table that is written anew, a file a batch."""
+    path = tables.new_path(spark, "arriving")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-    name = "progress_" + uuid.uuid4().hex
-    return progress.drain(progress.stream_counts(stream, ["event_type"]), name, "complete", f"{base}/{name}")
 
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """The table that a stream writes until all files are read."""
+    spark = stream.sparkSession
+    path, checkpoint = tables.new_path(spark, "stream"), tables.new_path(spark, "checkpoint")
+    stages.to_table(stream, path, checkpoint, mode)
+    return spark.read.parquet(path)
 
-@query()
+
+@query("select event_type, count(*) n from events group by 1")
+def stream_progress(spark, d):
+    """The running counts of a file stream once all files are read: each batch upserts the counts that it has changed."""
+    counts = progress.stream_counts(_stream_of(spark, t(spark, d, "events").select("event_type").repartition(4)), ["event_type"])
+    return stages.newest_of(_drained(counts, "update"), ["event_type"], ["n"])
+
+
+@query("select event_id, event_type, case event_id % 10 when 7 then 'unstarted' when 8 then 'unfinished' else 'finished' end status, case when event_id % 10 not in (7, 8) then 60000::bigint end ms from events")
+def stream_stage_pairs(spark, d):
+    """Stages of events: all starts arrive in one file, then all ends a minute later, then one event long after; some repeat, of each tenth one the start or the end is missing."""
+    e = t(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    k, later = F.col("event_id") % 10, lambda f, text: f.withColumn("at", F.col("at") + F.expr(f"interval {text}"))
+    starts = e.filter(k != 7).withColumn("kind", F.lit("started"))
+    ends = later(e.filter(k != 8).withColumn("kind", F.lit("finished")), "60 seconds")
+    last = later(e.orderBy(F.col("at").desc(), "event_id").limit(1).select(F.lit(-1).cast(e.schema["event_id"].dataType).alias("event_id"), "event_type", "at").withColumn("kind", F.lit("started")), "100 days")
+    path, table, checkpoint = (tables.new_path(spark, kind) for kind in ("arriving", "stream", "checkpoint"))
+    for arriving in (starts.union(later(starts.filter(k == 3), "5 seconds")), ends.union(later(ends.filter(k == 4), "9 seconds")), last):
+        arriving.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(starts.schema).parquet(path)
+        stages.to_table(stages.pair_stages(stream, ["event_id", "event_type"], "kind", "at", timedelta(hours=2), "40 days"), table, checkpoint)  # goes on where the last run ended
+    return spark.read.parquet(table).select("event_id", "event_type", "status", "ms")
+
+
+@query("select distinct user_id, event_type from events where event_type <> 'error'")
+def stream_first_seen(spark, d):
+    """Observations that arrive in several files, each key kept once; failed ones never count."""
+    e = t(spark, d, "events").filter("event_type <> 'error'").select("user_id", "event_type", "ts").repartition(3)
+    return _drained(progress.stream_dedupe(_stream_of(spark, e), ["user_id", "event_type"], "ts", "100000 days")).select("user_id", "event_type")
+
+
+@query("""with recursive w as (select l_orderkey k, l_partkey % 600 x, l_suppkey % 50 y, 6 + l_linenumber % 3 * 9 h, cast(l_linenumber as varchar) text, row_number() over (partition by l_orderkey order by l_suppkey % 50, l_partkey % 600, 6 + l_linenumber % 3 * 9, cast(l_linenumber as varchar)) i from lineitem),
+f as (select k, i, 0 line, y t, y + h b from w where i = 1
+ union all select w.k, w.i, f.line + n.new, case when n.new = 1 then w.y else least(f.t, w.y) end, case when n.new = 1 then w.y + w.h else greatest(f.b, w.y + w.h) end
+ from f join w on w.k = f.k and w.i = f.i + 1, lateral (select case when abs((f.t + f.b) / 2.0 - (w.y + w.h / 2.0)) > 0.7 * greatest(w.h, f.b - f.t) then 1 else 0 end as new) n)
+select f.k l_orderkey, f.line, string_agg(w.text, ' ' order by w.i) text, min(w.x) x, min(w.y) y, max(w.x + 40) - min(w.x) width, max(w.y + w.h) - min(w.y) height from f join w on w.k = f.k and w.i = f.i group by 1, 2""")
 def line_builder(spark, d):
-    words = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") % 50).alias("y"), F.lit(40).alias("width"), F.lit(12).alias("height"), F.col("l_linenumber").cast("string").alias("text"))
+    words = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") % 50).alias("y"), F.lit(40).alias("width"), (6 + F.col("l_linenumber") % 3 * 9).alias("height"), F.col("l_linenumber").cast("string").alias("text"))
     return evidence.build_lines(words, ["l_orderkey"])
 
 
+@query("""select o_orderkey, 'CUSTOMER ' || lpad(cast(c_custkey as varchar), 9, '0') entry, case when o_orderkey % 7 = 0 then 1 else 2 end tier, c_custkey place from orders join customer on c_custkey = o_custkey""")
+def vocab_table_lookup(spark, d):
+    """Texts of orders against the names of all customers, which are no literals but a table of any size."""
+    name = lambda key: F.concat(F.lit("Customer#"), F.lpad(F.col(key).cast("string"), 9, "0"))
+    said = F.when(F.col("o_orderkey") % 7 == 0, name("o_custkey")).otherwise(F.concat(F.lit("sold to the customer "), name("o_custkey"), F.lit(" on day "), F.col("o_orderkey").cast("string")))
+    o = t(spark, d, "orders").select("o_orderkey", X.match_norm(said).alias("x"))
+    return joins.vocab_join(o, "o_orderkey", "x", t(spark, d, "customer").select(X.match_norm(name("c_custkey")).alias("name"), F.col("c_custkey").alias("place")))
+
+
 @query()
 def span_locate(spark, d):
     """Where the part's type stands in its name and type read together."""

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from veriframe.operators import evidence, joins
+from veriframe.operators import evidence, geometry, joins
 
 
 def plain(texts, names):
@@ -41,12 +41,23 @@ def test_vocab_join_of_many_entries(spark):
 
 def test_lines_take_linear_time(spark):
     rng = random.Random(1)
-    boxes = [(rng.randrange(2000), rng.randrange(8, 30)) for _ in range(10_000)]
+    boxes = [(i // 50 * 60 + rng.randrange(6), rng.randrange(16, 24)) for i in range(10_000)]
     boxes.sort()
     began = time.process_time()
     lines = evidence.line_numbers([y for y, _ in boxes], [h for _, h in boxes], 0.7)
-    assert time.process_time() - began < 0.5 and lines[-1] > 20
+    assert time.process_time() - began < 0.5 and lines[-1] == 199
     words = spark.createDataFrame([(1, y, i % 700, 5, h, str(i)) for i, (y, h) in enumerate(boxes)], "page int, y int, x int, width int, height int, text string")
     got = evidence.build_lines(words, ["page"]).collect()
     assert sum(len(r.text.split()) for r in got) == 10_000
     assert evidence.build_lines(words.limit(0), ["page"]).count() == 0
+
+
+def test_regions_by_tiles(spark):
+    rng = random.Random(6)
+    box = lambda: (rng.randrange(-50, 900), rng.randrange(-50, 900), rng.choice([0, 1, 30, 256, 700]), rng.choice([0, 5, 12, 300]))
+    words, regions = [(rng.randrange(3), i, box()) for i in range(300)] + [(0, 999, None)], [(rng.randrange(3), i, box()) for i in range(60)]
+    kind = "struct<x: int, y: int, width: int, height: int>"
+    got = geometry.in_region(spark.createDataFrame(words, f"page int, w int, bbox {kind}"), spark.createDataFrame(regions, f"page int, r int, region {kind}"), ["page"])
+    meet = lambda a, b: a and a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3]
+    want = sorted((p, i, j) for p, i, a in words for q, j, b in regions if p == q and meet(a, b))
+    assert sorted((r.page, r.w, r.r) for r in got.collect()) == want and len(want) > 200

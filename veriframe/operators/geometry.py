@@ -64,9 +64,23 @@ def page_basis(pages: Column, page: Column, first_width: Column, first_height: C
     return F.when(usable(own["width"], own["height"]), pair(own["width"], own["height"])).when((page == 1) & usable(first_width, first_height), pair(first_width, first_height))
 
 
-def in_region(words: DataFrame, regions: DataFrame, keys: Sequence[str], box: str = "bbox", region: str = "region") -> DataFrame:
-    """words with the regions of the same keys (document, page) whose box they share an inner point with: one row for each pair that does."""
-    return words.join(regions, list(keys)).filter(intersects(F.col(box), F.col(region)))
+def _tiled(df: DataFrame, box: str, tile: float) -> DataFrame:
+    """df once for every tile that its box touches, as _tx, _ty."""
+    at = lambda v: F.floor(v / tile).cast("long")
+    b = F.col(box)
+    along = lambda low, size: F.sequence(at(low), at(low + F.greatest(size, F.lit(0))))
+    return df.withColumn("_tx", F.explode(along(b["x"], b["width"]))).withColumn("_ty", F.explode(along(b["y"], b["height"])))
+
+
+def in_region(words: DataFrame, regions: DataFrame, keys: Sequence[str], box: str = "bbox", region: str = "region", tile: float = 256.0) -> DataFrame:
+    """words with the regions of the same keys (document, page) whose box they share an inner point with: one row for each pair that does.
+
+    Boxes meet by tiles of the page, so that a page of very many words and regions compares those of one tile alone; a pair counts in the tile that
+    has the first corner of what they share. tile is a length in the boxes' unit, some words wide. Null boxes meet nothing."""
+    b, r = F.col(box), F.col(region)
+    met = _tiled(words, box, tile).join(_tiled(regions, region, tile).hint("merge"), [*keys, "_tx", "_ty"]).filter(intersects(b, r))
+    corner = lambda side: F.floor(F.greatest(b[side], r[side]) / tile).cast("long")
+    return met.filter((F.col("_tx") == corner("x")) & (F.col("_ty") == corner("y"))).drop("_tx", "_ty")
 
 
 def explode_words(pages: DataFrame, keys: Sequence[str], pages_col: str = "pages") -> DataFrame:

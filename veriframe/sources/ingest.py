@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriframe.functions.text import FALSE_WORDS, NUMBER, TRUE_WORDS, commodity_of, presence, strip
+from veriframe.operators import scan
+from veriframe.tables import materialize
 
 ROW_ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("message", T.StringType())])
 
 
-def read_declared_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A CSV with a header, every value a string, malformed rows kept in _corrupt, and the file's path."""
+def read_declared_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """A CSV with a header, every value a string, malformed rows kept in _corrupt, with the file's path and each row's place for row_numbers.
+
+    With multi_line, line ends inside quotes are part of a value, and a file is read by one task; without, large files are split and have none.
+    The rows are parsed once and written to the shared folder, so that places stay as they are and errors can be asked for alone."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_corrupt"]])
-    df = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=False)
-    return df.withColumn("file", F.col("_metadata.file_path"))
+    df = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=False, multiLine=multi_line, escape='"')
+    return materialize(df.withColumns({"file": F.col("_metadata.file_path"), "place": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))}))
 
 
 def column_errors(columns: Sequence[str], required: Sequence[str], optional: Sequence[str]) -> list[tuple[str, str]]:
@@ -127,11 +132,10 @@ def csv_file_errors(rows: DataFrame, file_col: str = "file", corrupt_col: str =
     return rows.join(bad, file_col, "left_anti").drop(corrupt_col), errors
 
 
-def row_numbers(rows: DataFrame, file_col: str, order: str) -> DataFrame:
-    """rows with row_number as a spreadsheet shows it: the first row below the header is 2. order: the place within the file."""
-    from pyspark.sql import Window as W
-
-    return rows.withColumn("row_number", F.row_number().over(W.partitionBy(file_col).orderBy(order)) + 1)
+def row_numbers(rows: DataFrame, file_col: str = "file", order: str = "place") -> DataFrame:
+    """rows with row_number as a spreadsheet shows records: the first one below the header is 2. order: the place within the file; a file of any size is numbered by a prefix scan."""
+    numbered = scan.running(scan.blocks(rows, [file_col], [order]), [file_col], [order], row_number=("sum", F.lit(1)))
+    return numbered.withColumn("row_number", (F.col("row_number") + 1).cast("int")).drop("block")
 
 
 def err_image_pair(front: str = "image_filename", back: str = "back_image_filename") -> Column:

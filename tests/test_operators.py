@@ -54,6 +54,12 @@ def test_lines(spark):
     assert [r.text for r in evidence.build_lines(w, ["p"]).orderBy("line").collect()] == ["a b", "c"]
 
 
+def test_lines_at_the_share(spark):
+    # centres are 31.5 apart, which is 0.7 of the height 45 and no more
+    w = spark.createDataFrame([(1, 0, 0, 10, 45, "a"), (1, 20, 49, 10, 10, "b"), (2, 0, 0, 10, 45, "a"), (2, 20, 50, 10, 10, "b")], "p int, x int, y int, width int, height int, text string")
+    assert sorted((r.p, r.text) for r in evidence.build_lines(w, ["p"]).collect()) == [(1, "a b"), (2, "a"), (2, "b")]
+
+
 def test_locate(spark):
     df = spark.createDataFrame([("noise OLD TOM noise".split(), "OLD TQM"), (["x"], "OLD TOM"), ([], "A")], "t array<string>, g string")
     got = [r.match and r.match.text for r in evidence.locate(df, "t", "g").collect()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,13 @@ def clean_words(words: DataFrame) -> DataFrame:
 
 
 def line_numbers(y: list, height: list, share: float) -> list[int]:
-    """The line of each word, in reading order: a word joins the line whose box centre is within share of the taller height, and the line's box grows by it."""
+    """The line of each word, in reading order: a word joins the line whose box centre is within share of the taller height, and the line's box grows by it.
+
+    share is taken as written (0.7 of 45 is 31.5, not the 31.499... of doubles), so that boxes of whole pixels are compared exactly."""
     out, line, top, bottom = [], -1, 0.0, 0.0
+    part = Fraction(str(share))
     for t, h in zip(y, height):
-        if line < 0 or abs((top + bottom) / 2 - (t + h / 2)) > share * max(h, bottom - top):
+        if line < 0 or abs((top + bottom) / 2 - (t + h / 2)) * part.denominator > part.numerator * max(h, bottom - top):
             line, top, bottom = line + 1, t, t + h
         else:
             top, bottom = min(top, t), max(bottom, t + h)

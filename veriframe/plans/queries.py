@@ -32,6 +32,11 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def placed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The table with the place of each row in it, for SQL that takes the first row of equals or adds doubles up in the table's order."""
+    return t(spark, d, name).withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 @query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def latest_event_per_user(spark, d):
     return latest.latest_per_key(t(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")

@@ -78,6 +78,15 @@ def first_window(tokens: Column, most: int, pattern: str) -> Column:
     return F.get(F.filter(wins, lambda w: w.rlike(pattern)), F.lit(0))
 
 
-def weak_evidence(words: DataFrame, keys: list[str], least_words: int = 8, least_confidence: float = 0.6) -> DataFrame:
-    g = words.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+def weak_evidence(words: DataFrame, keys: list[str], least_words: int = 8, least_confidence: float = 0.6, place: str | None = None) -> DataFrame:
+    """(keys, n, confidence) of the pages with few words or a low mean confidence.
+
+    Doubles added up in another order may end in another last digit, which decides on pages whose mean is the least one. With place, a page's words are added up in its order,
+    however the rows are dealt to tasks; a page is one array then, bounded by what one sheet holds."""
+    if place is None:
+        mean = F.avg("confidence")
+    else:
+        seen = F.sort_array(F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct(place, F.col("confidence").cast("double").alias("confidence")))))
+        mean = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, w: a + w["confidence"]) / F.size(seen))
+    g = words.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(mean, F.lit(0.0)).alias("confidence"))
     return g.filter((F.col("n") < least_words) | (F.col("confidence") < least_confidence))
